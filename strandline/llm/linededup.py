@@ -152,7 +152,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 8, shorte
     named = sketched.select("id", "doc_id", "t", "pos")
 
     def features(ids: DataFrame) -> DataFrame:
-        firsts = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t", "pos")).alias("f"))
+        firsts = named.groupBy("id").agg(F.min(F.struct("doc_id", "t", "pos")).alias("f")).join(ids, "id", "left_semi")
         wanted = firsts.groupBy(F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt")).agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "id")).alias("at"))
         found = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("text", "at")
         return found.mapInArrow(line_sets(width), "id long, h array<long>").dropDuplicates(["id"])

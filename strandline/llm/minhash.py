@@ -46,41 +46,42 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _regions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(element, start, width) of the weight regions below each count."""
-    doubling = np.where(counts <= 1, 1, np.minimum(np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 7))
-    wide = np.maximum(0, -(-(counts - _WIDEST) // _WIDEST))
-    per = doubling + wide
-    element = np.repeat(np.arange(len(counts)), per)
-    index = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-    low = np.minimum(index, 7)
-    start = np.where(index == 0, 0, np.where(index <= 6, 1 << np.maximum(low - 1, 0), _WIDEST * (index - 6)))
-    width = np.where(index == 0, 1, np.where(index <= 6, 1 << np.maximum(low - 1, 0), _WIDEST))
-    return element, start, width
+    single = np.arange(len(counts))
+    more = np.flatnonzero(counts > 1)
+    doubling = np.minimum(np.ceil(np.log2(counts[more])).astype(np.int64), 6)
+    per = doubling + np.maximum(0, -(-(counts[more] - _WIDEST) // _WIDEST))
+    index = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + 1
+    width = np.where(index <= 6, 1 << np.minimum(index - 1, 5), _WIDEST)
+    start = np.where(index <= 6, width, _WIDEST * (index - 6))
+    return np.r_[single, np.repeat(more, per)], np.r_[np.zeros_like(single), start], np.r_[np.ones_like(single), width]
 
 
 def _throw(rows, hashes, counts, limit, k, n, seed):
     """Earliest rank and dart of each (row, coordinate)."""
     element, start, width = _regions(counts)
-    steps = np.ceil(limit[rows[element]]).astype(np.int64)
+    bound = limit[rows[element]]
+    steps = np.ceil(bound).astype(np.int64)
     cell = np.repeat(np.arange(len(element)), steps)
     step = np.arange(len(cell)) - np.repeat(np.cumsum(steps) - steps, steps)
-    at = tn.mix(tn.mix(hashes[element] ^ U(seed)) + start.astype(U))[cell]
-    at = tn.mix(at + step.astype(U) * U(0xD1B54A32D192ED03))
+    region = hashes[element] * U(0x9FB21C651E98DF25) + start.astype(U) * U(0xC2B2AE3D27D4EB4F) + U(seed)
+    at = tn.mix(region[cell] + step.astype(U) * U(0xD1B54A32D192ED03))
     u, wide = _unit(at), width[cell]
     darts = np.searchsorted(_CDF[1], u, "right")
-    for w in np.unique(wide[wide > 1]):
+    for w in np.unique(width[width > 1]):
         of = wide == w
         darts[of] = np.searchsorted(_CDF[int(w)], u[of], "right")
     one = np.repeat(np.arange(len(cell)), darts)
     nth = np.arange(len(one)) - np.repeat(np.cumsum(darts) - darts, darts)
+    # a dart's upper bits are its rank within the cell, its lowest bits its coordinate
     dart = tn.mix(at[one] + (nth + 1).astype(U) * U(0xA0761D6478BD642F))
     of = cell[one]
-    rank = step[one] + _unit(tn.mix(dart ^ U(0x51)))
-    row = rows[element[of]]
-    ok = rank < limit[row]
-    weighted = wide[one] > 1
-    ok[weighted] &= (start[of] + width[of] * _unit(tn.mix(dart ^ U(0x52))))[weighted] < counts[element[of]][weighted]
-    dart, rank, row = dart[ok], rank[ok], row[ok]
-    slot = row * k + (tn.mix(dart ^ U(0x53)) % U(k)).astype(np.int64)
+    rank = step[one] + _unit(dart)
+    ok = rank < bound[of]
+    weighted = np.flatnonzero(wide[one] > 1)
+    in_weight = start[of[weighted]] + width[of[weighted]] * _unit(tn.mix(dart[weighted] ^ U(0x52)))
+    ok[weighted] &= in_weight < counts[element[of[weighted]]]
+    dart, rank, row = dart[ok], rank[ok], rows[element[of[ok]]]
+    slot = row * k + (dart & U(2047)).astype(np.int64) % k
     first = np.full(n * k, np.inf)
     np.minimum.at(first, slot, rank)
     win = rank == first[slot]
@@ -90,9 +91,9 @@ def _throw(rows, hashes, counts, limit, k, n, seed):
 
 
 def dart_signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, k: int = 64, seed: int = 7) -> np.ndarray:
-    """(n, k) signatures of n weighted sets given as sorted (row, element, count)."""
+    """(n, k) signatures (k a power of two, at most 2048) of n weighted sets given as sorted (row, element, count)."""
     total = np.bincount(rows, weights=counts, minlength=n)
-    goal = k * math.log(k) + 2 * k
+    goal = k * math.log(k) + 3 * k
     limit = goal / np.maximum(total, 1)
     out = np.zeros((n, k), U)
     todo = np.flatnonzero(total > 0)
@@ -121,7 +122,7 @@ def sketch(width: int, k: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in tn.chunks(batch.column("text"), 2 << 20):
+            for lo, hi in tn.chunks(batch.column("text"), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 row, h, c = tn.word_shingles(part.column("text"), width)
                 ids, _ = tn.set_key(row, h, c, len(part))
@@ -142,7 +143,7 @@ def shingle_sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in tn.chunks(batch.column("text"), 2 << 20):
+            for lo, hi in tn.chunks(batch.column("text"), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 row, h, c = tn.word_shingles(part.column("text"), width)
                 copies = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
@@ -167,7 +168,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
     named = sketched.select("id", "doc_id", "t")
 
     def features(ids: DataFrame) -> DataFrame:
-        firsts = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "t")).alias("f")).select("id", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
+        firsts = named.groupBy("id").agg(F.min(F.struct("doc_id", "t")).alias("f")).join(ids, "id", "left_semi").select("id", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
         found = texts.join(firsts, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("id", "text")
         return found.mapInArrow(shingle_sets(width), "id long, h array<long>").dropDuplicates(["id"])
 

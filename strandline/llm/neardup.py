@@ -7,11 +7,16 @@ ever brought together in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.scratch import Scratch
+from strandline.llm.textnum import mix
+
+U = np.uint64
 
 
 def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
@@ -21,11 +26,9 @@ def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFra
     both = F.size(F.array_intersect("ha", "hb"))
     # sets too different in size cannot reach the threshold; they need no intersection
     small, large = F.least(F.size("ha"), F.size("hb")), F.greatest(F.size("ha"), F.size("hb"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where((small >= threshold * large) & (both >= threshold * (F.size("ha") + F.size("hb") - both)))
-        .select("a", "b")
-    )
+    # both / (a + b - both) >= t, with the intersection taken once
+    enough = both >= threshold / (1 + threshold) * (F.size("ha") + F.size("hb")) - 1e-9
+    return pairs.join(left, "a").join(right, "b").where((small >= threshold * large) & enough).select("a", "b")
 
 
 def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
@@ -56,7 +59,9 @@ def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
         before = after
     else:
         raise RuntimeError("union-find did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    out = scratch.put(edges.select(F.col("u").alias("id"), F.col("v").alias("root")))
+    scratch.drop(edges)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -64,32 +69,109 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+class Search:
+    """Links found so far, and the classes they make."""
+
+    def __init__(self, scratch: Scratch, feats: DataFrame, threshold: float):
+        self.scratch, self.feats, self.threshold = scratch, feats, threshold
+        self.links = self.roots = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (id, ...) with the id's class as ``label``."""
+        return rows.join(self.roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs`` (a, b), and joins their classes."""
+        found = verified(pairs.distinct(), self.feats, self.threshold)
+        old, old_roots = self.links, self.roots
+        self.links = self.scratch.put(found if old is None else old.unionByName(found))
+        self.roots = components(self.scratch, self.links)
+        if old is not None:
+            self.scratch.drop(old, old_roots)
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """The members (key, id, pivot) besides pivots, with labels, of keys where they differ."""
+        rest = self.labelled(members.where("id <> pivot"))
+        several = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+        return self.scratch.put(rest.join(several.select("key", "main"), "key"))
+
+    def stars(self, bands: DataFrame) -> DataFrame:
+        """Members (key, id, pivot) of the keys that several ids of ``bands`` share.
+
+        The pivot is the id that meets most others over all its keys: of edited copies,
+        the one nearest to their original, so that most pairs verify with it.
+        """
+        full = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+        members = self.scratch.put(bands.join(full.select("key", "n"), "key").select("key", "id", "n").distinct())
+        weights = members.groupBy("id").agg(F.sum("n").alias("w"))
+        pivots = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
+        out = self.scratch.put(members.join(pivots.select("key", F.col("p.id").alias("pivot")), "key").select("key", "id", "pivot"))
+        self.scratch.drop(members)
+        return out
+
+    def exhaust(self, members: DataFrame) -> None:
+        """Compares, in each key, all ids of different classes, by 8, 32, 128, ... pivots at a
+        time taken outside the key's largest class."""
+        slots, open_ = 8, members
+        while True:
+            left = self.mixed(open_)
+            if left.isEmpty():
+                return
+            chosen = left.where("label <> main").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "label")).alias("p"))
+            chosen = self.scratch.put(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("at")))
+            self.verify(left.join(chosen, "key").where("label <> at and id <> a").select("a", F.col("id").alias("b")))
+            rest = left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id", "pivot")
+            open_ = self.scratch.put(rest)
+            self.scratch.drop(left, chosen)
+            slots *= 4
+
+
+def difference_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (pivot, id, hp, h) to (id, key): one key for each element that
+    an id adds to its pivot, and bands of a MinHash of those it lacks."""
+    from strandline.llm.minhash import band_keys, dart_signatures
+
+    for batch in batches:
+        pivot = batch.column("pivot").to_numpy()
+        ids, keys, lens = batch.column("id"), [], []
+        sides = [[x.values.to_numpy().view(U) for x in batch.column(c)] for c in ("hp", "h")]
+        lacks = [np.setdiff1d(p, h, assume_unique=True) for p, h in zip(*sides, strict=True)]
+        rows = np.repeat(np.arange(len(lacks)), [len(x) for x in lacks])
+        flat = np.concatenate([np.zeros(0, U), *lacks])
+        bands = band_keys(dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(lacks)), 4)
+        for i, (p, h) in enumerate(zip(*sides, strict=True)):
+            own = np.setdiff1d(h, p, assume_unique=True)
+            if len(lacks[i]):
+                own = np.r_[own, bands[i] ^ U(0x5BD1E995)]
+            keys.append(mix(own ^ mix(pivot[i : i + 1].view(U))))
+            lens.append(len(own))
+        take = np.repeat(np.arange(len(lens)), lens)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64))], names=["id", "key"])
+
+
 def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(id, root) for the ids of ``bands`` (id, key) that are linked to another one.
 
-    Every two ids that share a key are compared unless they are already in one
-    class, so no link between classes is lost. Round 1 compares each bucket with
-    its least id. While ids of different classes remain uncompared in a bucket,
-    further rounds compare it with 8, 32, 128, ... more pivots taken outside the
-    bucket's largest class.
+    First every bucket is compared with its pivot. Two ids of one bucket that are still in
+    different classes can only be similar if they differ from the pivot in the same
+    places: with D the symmetric difference to the pivot, similarity asks that
+    |Dx & Dy| >= (|Dx| + |Dy| - (|x| + |y|) * (1 - t) / (1 + t)) / 2, which is over half of either D
+    for an id not linked to the pivot. So those ids are searched again by the elements
+    they add to the pivot and by bands of those they lack, and there every pair of
+    different classes is compared. A bucket's pairs are never made as such, however
+    many edited copies of one text it holds.
     """
-    full = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot <> top")
-    members = scratch.put(bands.join(full.select("key", "pivot"), "key").select("key", "id", "pivot").distinct())
-    feats = scratch.put(features(members.select("id").distinct()))
-    pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.put(verified(pairs, feats, threshold))
-    open_ = members.where("id <> pivot").select("key", "id")
-    slots = 8
-    while True:
-        roots = components(scratch, links)
-        labelled = open_.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label"))
-        mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
-        left = scratch.put(labelled.join(mixed, "key"))
-        if left.isEmpty():
-            return roots
-        chosen = left.where("label <> main").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "label")).alias("p")).select("key", F.col("p.id").alias("a"), F.col("p.label").alias("at"))
-        chosen = scratch.put(chosen)
-        pairs = left.join(chosen, "key").where("label <> at and id <> a").select("a", F.col("id").alias("b")).distinct()
-        links = scratch.put(links.unionByName(verified(pairs, feats, threshold)))
-        open_ = scratch.put(left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id"))
-        slots *= 4
+    first = Search(scratch, None, threshold)
+    members = first.stars(bands)
+    first.feats = feats = scratch.put(features(members.select("id").distinct()))
+    first.verify(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    left = first.mixed(members)
+    if left.isEmpty():
+        return first.roots
+    pairs = left.select("pivot", "id").distinct()
+    sets = pairs.join(feats.select(F.col("id").alias("pivot"), F.col("h").alias("hp")), "pivot").join(feats, "id").select("pivot", "id", "hp", "h")
+    again = scratch.put(sets.mapInArrow(difference_keys, "id long, key long"))
+    again_members = first.stars(again)
+    first.verify(first.labelled(again_members.where("id <> pivot")).join(first.roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left").where("label <> coalesce(pr, pivot)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    first.exhaust(again_members)
+    return first.roots

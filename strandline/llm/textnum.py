@@ -14,7 +14,6 @@ _OFF[list(SPACES)] = True
 #: Words for shingling: everything that is neither ASCII white space nor ASCII punctuation.
 _WORD = ~_OFF
 _WORD[[c for c in range(33, 127) if not chr(c).isalnum()]] = False
-_RUN = 1 << 16
 _B = U(0x9E3779B97F4A7C15)
 
 
@@ -29,14 +28,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
+_STEP = 1 << 12
+_INV = pow(int(_B), -1, 1 << 64)
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base & ((1 << 64) - 1), U)
     out[0] = 1
     return np.cumprod(out, dtype=U)
 
 
-_POW = _powers(_B, _RUN)
-_STEP = U(pow(int(_B), _RUN, 1 << 64))
+_LOW, _LOW_INV = _table(int(_B), _STEP), _table(_INV, _STEP)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base, as products of a coarse and a fine table."""
+    return np.multiply.outer(_table(pow(int(_B), _STEP, 1 << 64), n // _STEP + 1), _LOW).ravel()[:n]
+
+
+def _inverse(at: np.ndarray, n: int) -> np.ndarray:
+    return _table(pow(_INV, _STEP, 1 << 64), n // _STEP + 1)[at // _STEP] * _LOW_INV[at % _STEP]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +61,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, most: int = 4 << 20):
-    """Slices of rows of about ``most`` bytes; a longer text stands alone."""
+def chunks(column: pa.Array, most: int = 4 << 20, rows: int = 1 << 15):
+    """Slices of at most ``rows`` rows and about ``most`` bytes; a longer text stands alone."""
     n = len(column)
     if not n:
         return
@@ -59,7 +70,7 @@ def chunks(column: pa.Array, most: int = 4 << 20):
     at = 0
     while at < n:
         before = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
+        end = max(at + 1, min(at + rows, int(np.searchsorted(size, before + most, "right"))))
         yield at, end
         at = end
 
@@ -80,19 +91,13 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD)
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
+    """A 64-bit hash of each span's values: differences of one prefix sum of a polynomial."""
     if not len(starts):
         return np.zeros(0, U)
-    lens = ends - starts
-    total = int(lens.sum())
-    firsts = np.cumsum(lens) - lens
-    place = np.arange(total, dtype=np.int64) - np.repeat(firsts, lens)
-    terms = raw[place + np.repeat(starts, lens)].astype(U) + U(1)
-    if lens.max() > _RUN:
-        terms *= _powers(_STEP, int(lens.max() >> 16) + 1)[place >> 16]
-        place &= _RUN - 1
-    terms *= _POW[place]
-    return mix(np.add.reduceat(terms, firsts) + lens.astype(U))
+    n = len(raw)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(_powers(n) * (raw.astype(U) + U(1)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _inverse(starts, n) + (ends - starts).astype(U))
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +121,7 @@ def lists(values: np.ndarray, lens: np.ndarray, kind=pa.int64()) -> pa.Array:
 
 
 def word_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, count), sorted by row and hash.
+    """(row, shingle hash, count), sorted by row; hashes keep 48 bits of identity.
 
     Words are lower-cased runs without ASCII white space and punctuation. A text
     of fewer than ``width`` words is one shingle of all its words; a text without
@@ -141,13 +146,11 @@ def word_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndar
     bare = span_hashes(raw, offsets[:-1][empty], offsets[1:][empty]) if len(empty) and (offsets[1:][empty] > offsets[:-1][empty]).all() else np.array([_bare(raw[offsets[i] : offsets[i + 1]]) for i in empty], U)
     rows = np.r_[rows, short, empty].astype(np.int64)
     hashes = np.r_[mix(hashes), np.array(small, U), bare]
-    order = np.lexsort((hashes, rows))
-    rows, hashes = rows[order], hashes[order]
-    if not len(rows):
-        return rows, hashes, np.zeros(0, np.int64)
-    new = np.r_[True, (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])]
-    at = np.flatnonzero(new)
-    return rows[at], hashes[at], np.diff(np.r_[at, len(rows)])
+    # one sort of (row, upper 48 bits): rows of a chunk are fewer than 2**16
+    key = np.sort(rows.astype(U) << U(48) | hashes >> U(16))
+    at, count = runs(key)
+    key = key[at]
+    return (key >> U(48)).astype(np.int64), mix(key & U((1 << 48) - 1)), count
 
 
 def _bare(piece: np.ndarray) -> int:
