@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.llm.linededup import without
+from strandline.llm.scratch import Scratch
 
 #: Words and the white space between them.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -71,27 +72,30 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def normal_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, SPACE, " "), "^ | $", ""))
+    """``line`` (lower-cased, with spaces as its only white space) trimmed, runs of spaces collapsed."""
+    return F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
 
 
 def document_lines(docs: DataFrame, longest: int) -> DataFrame:
     """doc_id, t, host, pos, line (hash of its normal form) and words, of lines with 1 to ``longest`` words."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    plain = F.translate(F.lower("text"), "\t\x0b\x0c\r", "    ")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host"), F.posexplode(F.split(plain, "\n")).alias("pos", "raw"))
     rows = rows.withColumn("normal", normal_line(F.col("raw"))).where("normal <> ''")
-    words = F.length("normal") - F.length(F.translate("normal", " ", "")) + 1
+    words = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
     return rows.select("doc_id", "t", "host", "pos", F.xxhash64("normal").alias("line"), words.cast("long").alias("words")).where(F.col("words") <= longest)
 
 
-def frequent_lines(docs: DataFrame, least: int, share: float, longest: int) -> DataFrame:
-    """host, line: lines in more of the host's distinct texts than the limit."""
+def frequent_lines(docs: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
+    """host, line: the ``lines`` in more of the host's distinct texts than the limit."""
     hosts = docs.select(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host"), F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    counted = document_lines(docs, longest).groupBy("host", "line", "t").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    counted = lines.groupBy("host", "line", "t").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
     return counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), share * F.col("docs"))).select("host", "line")
 
 
 def line_verdicts(docs: DataFrame, least: int, share: float, longest: int) -> DataFrame:
     """doc_id, t, gone (sorted positions of removed lines) and gone_words, of documents that lose lines."""
-    hit = document_lines(docs, longest).join(frequent_lines(docs, least, share, longest), ["host", "line"])
+    lines = Scratch(docs.sparkSession, "rules").put(document_lines(docs, longest))
+    hit = lines.join(frequent_lines(docs, lines, least, share), ["host", "line"])
     gone = hit.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("pos", "words"))).alias("g"))
     return gone.select("doc_id", "t", F.col("g.pos").alias("gone"), F.aggregate(F.col("g.words"), F.lit(0).cast("long"), lambda a, x: a + x).alias("gone_words"))
 

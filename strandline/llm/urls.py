@@ -108,7 +108,7 @@ def _leaves(tree, path=()):
     return F.when(F.col(feature) <= threshold, _leaves(low, (*path, "0"))).otherwise(_leaves(high, (*path, "1")))
 
 
-def fit(labelled: DataFrame, sample: int = 20_000, rounds: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, url: str = "url", label: str = "label") -> Trees:
+def fit(labelled: DataFrame, sample: int = 20_000, rounds: int = 5, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, url: str = "url", label: str = "label") -> Trees:
     """Trees from (url, label 0/1). At most ``sample`` rows are used, those of the
     least hashes; histograms come from grouped sums over them."""
     scratch = Scratch(labelled.sparkSession, "urls")
