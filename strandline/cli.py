@@ -43,11 +43,10 @@ def parser() -> argparse.ArgumentParser:
 
 def open_source(spark, path: str):
     from strandline.sources.events import EventSource
-    from strandline.sources.pages import PagesSource
+    from strandline.sources.pages import read_pages
 
     if os.path.isdir(path) and any(x.endswith(".json") for x in os.listdir(path)):
-        spark.dataSource.register(PagesSource)
-        return EventSource(spark.read.format("ledger_pages").option("path", path).load())
+        return EventSource(read_pages(spark, path))
     return EventSource(spark.read.parquet(path))
 
 

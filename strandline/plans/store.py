@@ -145,12 +145,15 @@ class ParquetEventStore:
         self._commit({})
 
     def vacuum(self) -> int:
-        """Deletes folders that the current version does not use."""
-        used = {v.partition("/")[0] for v in self._version().values()}
-        stale = [s.getPath() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in used]
-        for path in stale:
-            self._fs.delete(path, True)
-        return len(stale)
+        """Deletes bucket folders that the current version does not use; returns how many."""
+        used, gone = set(self._version().values()), 0
+        for version in [s.getPath() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("v-")]:
+            parts = [s.getPath() for s in self._fs.listStatus(version) if s.isDirectory()]
+            stale = [p for p in parts if f"{version.getName()}/{p.getName()}" not in used]
+            for path in stale if len(stale) < len(parts) else [version]:
+                self._fs.delete(path, True)
+            gone += len(stale)
+        return gone
 
     # reads
 

@@ -6,8 +6,7 @@ unchanged cursor is an error, an empty page with a new cursor goes on. Files are
 planned as one partition per ``pagesperpartition`` pages; ledger bounds given as
 options or pushed filters skip rows inside the reader.
 
-    spark.dataSource.register(PagesSource)
-    spark.read.format("ledger_pages").option("path", folder).load()
+    read_pages(spark, folder).where("ledger >= 100")
 """
 
 from __future__ import annotations
@@ -80,15 +79,6 @@ class PagesReader(DataSourceReader):
         self.depth = int(options.get("maxdepth", MAX_DEPTH))
         self.low, self.high = int(options.get("startledger", 0)), int(options.get("endledger", 1 << 62))
 
-    def pushFilters(self, filters):  # noqa: N802
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ledger",) and isinstance(getattr(f, "value", None), int):
-                if isinstance(f, (GreaterThanOrEqual, GreaterThan, EqualTo)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (LessThanOrEqual, LessThan, EqualTo)):
-                    self.high = min(self.high, f.value - isinstance(f, LessThan))
-            yield f  # Spark checks all filters again: the reader only skips early
-
     def partitions(self):
         files = chain(page_files(self.path))
         return [_Span(files[i : i + self.per]) for i in range(0, len(files), self.per)] or [_Span([])]
@@ -101,6 +91,19 @@ class PagesReader(DataSourceReader):
                     yield decode_event(raw, self.depth)
 
 
+class FilteringPagesReader(PagesReader):
+    """Takes ledger bounds from the query; Spark allows it where its setting is on."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if getattr(f, "attribute", None) == ("ledger",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, (GreaterThanOrEqual, GreaterThan, EqualTo)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThanOrEqual, LessThan, EqualTo)):
+                    self.high = min(self.high, f.value - isinstance(f, LessThan))
+            yield f  # Spark checks all filters again: the reader only skips early
+
+
 class PagesStreamReader(DataSourceStreamReader):
     """Offsets are ledgers, so a micro-batch always ends on a ledger's border."""
 
@@ -142,7 +145,14 @@ class PagesSource(DataSource):
         return _SCHEMA
 
     def reader(self, schema) -> PagesReader:
-        return PagesReader(self.options)
+        return (FilteringPagesReader if self.options.get("pushdown") == "true" else PagesReader)(self.options)
 
     def streamReader(self, schema) -> PagesStreamReader:  # noqa: N802
         return PagesStreamReader(self.options)
+
+
+def read_pages(spark, path: str, **options):
+    """The pages of a folder as a DataFrame, with ledger filters pushed into the reader."""
+    spark.dataSource.register(PagesSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("ledger_pages").option("path", path).option("pushdown", "true").options(**options).load()

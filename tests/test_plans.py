@@ -257,7 +257,7 @@ def test_requester():
 
 def test_pages_source(spark, tmp_path, capsys):
     from strandline.cli import main
-    from strandline.sources.pages import PagesSource
+    from strandline.sources.pages import PagesSource, read_pages
     from strandline.streaming.consume import page_stream
 
     pages = [{"events": [{"id": f"{i}", "ledger": i, "topic": [{"type": "u32", "value": 1}], "value": {"k": [1, 2]}, "extra": 1} for i in (1, 2)], "cursor": "a"}, {"events": [], "cursor": "b"}, {"events": [{"id": "3", "ledger": 3, "transactionHash": "t"}], "cursor": None}, {"events": [{"id": "never", "ledger": 9}]}]
@@ -266,6 +266,7 @@ def test_pages_source(spark, tmp_path, capsys):
     spark.dataSource.register(PagesSource)
     rows = spark.read.format("ledger_pages").option("path", str(tmp_path)).load().orderBy("id").collect()
     assert [(r.id, r.topics, r.value, r.txHash) for r in rows] == [("1", ["1"], '{"k":[1,2]}', None), ("2", ["1"], '{"k":[1,2]}', None), ("3", None, None, "t")]
+    assert sorted(r.id for r in read_pages(spark, str(tmp_path)).where("ledger >= 2 and ledger < 3").collect()) == ["2"]
     assert main(["latest", "--source", str(tmp_path)], spark) == 0 and capsys.readouterr().out == "3\n"
     assert main(["backfill", "--source", str(tmp_path), "--start", "1", "--end", "2", "--format", "csv", "--output", str(tmp_path / "o.csv")], spark) == 0
     assert (tmp_path / "o.csv").read_text().count("\n") == 3
