@@ -87,9 +87,9 @@ def reduce(stock: Stock, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     For the longest piece j the set {j} dominates if nothing fits beside it;
     {j, k}, with k the longest that fits, if k fills the room or no two pieces fit;
     {j, k} or {j, r, s} if no three fit and one outweighs every pair. Pieces whose
-    set does not qualify stay for best-fit.
+    set does not qualify stay for best-fit, and as partners of shorter ones.
     """
-    fixed, later = [], []
+    fixed = []
     for j in sorted(stock.lengths, reverse=True):
         while stock.n.get(j):
             room = capacity - j
@@ -105,16 +105,11 @@ def reduce(stock: Stock, capacity: int) -> list[tuple[tuple[int, ...], int]]:
             elif len(small) < 3 or sum(small) > room:
                 best = _pair(stock, j, k, room)
             if best is None:
-                later.append((j, stock.n[j]))
-                stock.take(j, stock.n[j])
                 break
             n = min(stock.n[x] // best.count(x) for x in set(best))
             fixed.append((best, n))
             for x in set(best):
                 stock.take(x, n * best.count(x))
-    for j, n in later:
-        bisect.insort(stock.lengths, j)
-        stock.n[j] = n
     return fixed
 
 
