@@ -49,6 +49,9 @@ class Scratch:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.mode("overwrite").parquet(path)
+        if self.made == 1:  # the driver's end removes what is left
+            target = self._hadoop(self.root)
+            self._files(target).deleteOnExit(target)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -57,7 +60,12 @@ class Scratch:
         for table in tables:
             self._delete(table._scratch_path)
 
+    def _hadoop(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, target):
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target = self._hadoop(path)
+        self._files(target).delete(target, True)
