@@ -72,9 +72,9 @@ def _state(edges: DataFrame) -> tuple:
 class Search:
     """Links found so far, and the classes they make."""
 
-    def __init__(self, scratch: Scratch, feats: DataFrame, threshold: float):
-        self.scratch, self.feats, self.threshold = scratch, feats, threshold
-        self.links = self.roots = None
+    def __init__(self, scratch: Scratch, check: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float):
+        self.scratch, self.check, self.threshold = scratch, check, threshold
+        self.feats = self.links = self.roots = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """``rows`` (id, ...) with the id's class as ``label``."""
@@ -82,7 +82,7 @@ class Search:
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the links among ``pairs`` (a, b), and joins their classes."""
-        found = verified(pairs.distinct(), self.feats, self.threshold)
+        found = self.check(pairs.distinct(), self.feats, self.threshold)
         old, old_roots = self.links, self.roots
         self.links = self.scratch.put(found if old is None else old.unionByName(found))
         self.roots = components(self.scratch, self.links)
@@ -126,32 +126,79 @@ class Search:
             slots *= 4
 
 
-def difference_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (pivot, id, hp, h) to (id, key): one key for each element that
-    an id adds to its pivot, and bands of a MinHash of those it lacks."""
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """The hash sets of a list column."""
+    return [x.values.to_numpy().view(U) for x in column]
+
+
+def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]], most: int | None):
+    """mapInArrow function: (pivot, id, hp, h) to (id, key): a key for each element that an id
+    adds to its pivot (beyond ``most``, for those of a MinHash), and bands of a MinHash of
+    the elements it lacks."""
     from strandline.llm.minhash import band_keys, dart_signatures
 
-    for batch in batches:
-        pivot = batch.column("pivot").to_numpy()
-        ids, keys, lens = batch.column("id"), [], []
-        sides = [[x.values.to_numpy().view(U) for x in batch.column(c)] for c in ("hp", "h")]
-        lacks = [np.setdiff1d(p, h, assume_unique=True) for p, h in zip(*sides, strict=True)]
-        rows = np.repeat(np.arange(len(lacks)), [len(x) for x in lacks])
-        flat = np.concatenate([np.zeros(0, U), *lacks])
-        bands = band_keys(dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(lacks)), 4)
-        for i, (p, h) in enumerate(zip(*sides, strict=True)):
-            own = np.setdiff1d(h, p, assume_unique=True)
-            if len(lacks[i]):
-                own = np.r_[own, bands[i] ^ U(0x5BD1E995)]
-            keys.append(mix(own ^ mix(pivot[i : i + 1].view(U))))
-            lens.append(len(own))
-        take = np.repeat(np.arange(len(lens)), lens)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64))], names=["id", "key"])
-
-
-def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    def signed(sets, k):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate([np.zeros(0, U), *sets])
+        return dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(sets), k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                batch = whole.slice(lo, 1024)
+                pivot = batch.column("pivot").to_numpy()
+                ids, keys, lens = batch.column("id"), [], []
+                sides = [decode(batch.column(c)) for c in ("hp", "h")]
+                lacks = [np.setdiff1d(p, h) for p, h in zip(*sides, strict=True)]
+                adds = [np.setdiff1d(h, p) for p, h in zip(*sides, strict=True)]
+                bands = band_keys(signed(lacks, 64 if most is None else 32), 4)
+                few = None if most is None else signed(adds, most)
+                for i, own in enumerate(adds):
+                    if few is not None and len(own) > most:
+                        own = few[i]
+                    if len(lacks[i]):
+                        own = np.r_[own, bands[i] ^ U(0x5BD1E995)]
+                    keys.append(mix(own ^ mix(pivot[i : i + 1].view(U))))
+                    lens.append(len(own))
+                take = np.repeat(np.arange(len(lens)), lens)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64))], names=["id", "key"])
+
+    return run
+
+
+def text_check(sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+    """A check of pairs whose features ``h`` are texts: ``sets`` gives (row, hash) of a column."""
+
+    def keyed(column):
+        row, h = sets(column)
+        return np.unique(row.astype(U) << U(48) | h >> U(16))
+
+    def run(threshold):
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, len(whole), 1024):
+                    batch = whole.slice(lo, 1024)
+                    a, b = keyed(batch.column("ha")), keyed(batch.column("hb"))
+                    both = np.intersect1d(a, b, assume_unique=True)
+                    na, nb, nab = (np.bincount((x >> U(48)).astype(np.int64), minlength=len(batch)) for x in (a, b, both))
+                    yield batch.select(["a", "b"]).filter(pa.array(nab >= threshold * (na + nb - nab) - 1e-9))
+
+        return match
+
+    def check(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+        left = features.select(F.col("id").alias("a"), F.col("h").alias("ha"))
+        right = features.select(F.col("id").alias("b"), F.col("h").alias("hb"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run(threshold), "a long, b long")
+
+    return check
+
+
+def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float, check=verified, decode=arrays_of, most: int | None = None) -> DataFrame:
     """(id, root) for the ids of ``bands`` (id, key) that are linked to another one.
 
+    ``features`` gives (id, h) of wanted ids, ``check`` compares pairs of them, ``decode`` makes
+    hash sets of ``h`` on Python's side.
+
     First every bucket is compared with its pivot. Two ids of one bucket that are still in
     different classes can only be similar if they differ from the pivot in the same
     places: with D the symmetric difference to the pivot, similarity asks that
@@ -161,7 +208,7 @@ def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[Data
     different classes is compared. A bucket's pairs are never made as such, however
     many edited copies of one text it holds.
     """
-    first = Search(scratch, None, threshold)
+    first = Search(scratch, check, threshold)
     members = first.stars(bands)
     first.feats = feats = scratch.put(features(members.select("id").distinct()))
     first.verify(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
@@ -170,7 +217,7 @@ def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[Data
         return first.roots
     pairs = left.select("pivot", "id").distinct()
     sets = pairs.join(feats.select(F.col("id").alias("pivot"), F.col("h").alias("hp")), "pivot").join(feats, "id").select("pivot", "id", "hp", "h")
-    again = scratch.put(sets.mapInArrow(difference_keys, "id long, key long"))
+    again = scratch.put(sets.mapInArrow(difference_keys(decode, most), "id long, key long"))
     again_members = first.stars(again)
     first.verify(first.labelled(again_members.where("id <> pivot")).join(first.roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left").where("label <> coalesce(pr, pivot)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     first.exhaust(again_members)

@@ -21,7 +21,6 @@ def table(spark, texts, extra="x"):
 
 
 def shingles(text, width=5):
-    words = re.findall(r"[^\W_]+|[_]+", (text or "").lower()) if (text or "").isascii() else re.sub(r"[!-/:-@\[-`{-~\s]+", " ", (text or "").lower()).split()
     words = re.sub(r"[!-/:-@\[-`{-~\s]+", " ", (text or "").lower()).split()
     if not words:
         return Counter([text or ""])
@@ -152,16 +151,26 @@ def line_rows(spark):
 
 def test_line_dedup_equals_brute_force(spark, line_rows):
     docs = table(spark, line_rows)
-    got = {(r.doc_id, x.pos) for r in linededup.removals(docs).collect() for x in r.removed}
     want = removed_by_hand(line_rows)
-    assert got == want and (103, 0) in got
+    # with more bands no pair at the threshold is missed
+    assert {(r.doc_id, x.pos) for r in linededup.removals(docs, bands=24).collect() for x in r.removed} == want
+    got = {(r.doc_id, x.pos) for r in linededup.removals(docs).collect() for x in r.removed}
+    assert got <= want and len(want - got) <= 0.02 * len(want) and (103, 0) in got
     clean = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
     for i, t in line_rows:
-        lines = None if t is None else [x for j, x in enumerate(t.split("\n")) if (i, j) not in want]
+        lines = None if t is None else [x for j, x in enumerate(t.split("\n")) if (i, j) not in got]
         assert clean[i] == (None if lines is None else "\n".join(lines))
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_many_edited_copies_of_a_line(spark):
+    rng = random.Random(3)
+    base = " ".join(f"z{rng.randrange(9000)}" for _ in range(40))
+    rows = [(i, edited(base, rng.choice([1, 2, 3, 4]), rng)) for i in range(80)]
+    got = {(r.doc_id, x.pos) for r in linededup.removals(table(spark, rows), bands=24).collect() for x in r.removed}
+    assert got == removed_by_hand(rows)
+
+
 def test_char_shingles_and_bins():
     points = np.frombuffer("abcdefghij".encode("utf-32-le"), np.uint32)
     line, h = linededup.char_shingles(np.concatenate([points, points]), np.array([10, 10]), 7)
