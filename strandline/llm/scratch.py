@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,9 @@ class Scratch:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.mode("overwrite").parquet(path)
+        # lets Spark's cleaner free the shuffle files of what has just been written
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         if self.made == 1:  # the driver's end removes what is left
             target = self._hadoop(self.root)
             self._files(target).deleteOnExit(target)
