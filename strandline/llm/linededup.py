@@ -161,15 +161,12 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 8, shorte
         found = pressed.join(wanted, pressed["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("z", "at")
         return found.mapInArrow(wanted_lines, "id long, h string").dropDuplicates(["id"])
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return line_shingles(column, width)
-
     def decode(column: pa.Array) -> list[np.ndarray]:
         row, h = line_shingles(column, width)
         return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(column))))]
 
     bands_of = sketched.select("id", F.explode("keys").alias("key"))
-    roots = similar_classes(scratch, bands_of, features, threshold, text_check(sets), decode, most=16)
+    roots = similar_classes(scratch, bands_of, features, threshold, text_check(decode), decode, most=16)
     labelled = named.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "t", "pos")
     heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1").select("root", "head")
     return (

@@ -166,22 +166,28 @@ def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]], most: int |
     return run
 
 
-def text_check(sets: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
-    """A check of pairs whose features ``h`` are texts: ``sets`` gives (row, hash) of a column."""
-
-    def keyed(column):
-        row, h = sets(column)
-        return np.unique(row.astype(U) << U(48) | h >> U(16))
+def text_check(decode: Callable[[pa.Array], list[np.ndarray]]):
+    """A check of pairs whose features ``h`` are texts, of which ``decode`` makes sorted hash
+    sets; within a batch each text is decoded once, however many pairs it is in."""
 
     def run(threshold):
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for lo in range(0, len(whole), 1024):
-                    batch = whole.slice(lo, 1024)
-                    a, b = keyed(batch.column("ha")), keyed(batch.column("hb"))
-                    both = np.intersect1d(a, b, assume_unique=True)
-                    na, nb, nab = (np.bincount((x >> U(48)).astype(np.int64), minlength=len(batch)) for x in (a, b, both))
-                    yield batch.select(["a", "b"]).filter(pa.array(nab >= threshold * (na + nb - nab) - 1e-9))
+                for lo in range(0, len(whole), 2048):
+                    batch = whole.slice(lo, 2048)
+                    ids = np.concatenate([batch.column(c).to_numpy() for c in "ab"])
+                    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+                    texts = pa.concat_arrays([batch.column("ha"), batch.column("hb")]).take(pa.array(first))
+                    sets, (left, right) = decode(texts), of.reshape(2, -1)
+                    size = np.array([len(x) for x in sets])
+                    small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+                    ok = small >= threshold * large
+                    for i in np.flatnonzero(ok):
+                        x, y = sets[left[i]], sets[right[i]]
+                        both = np.sort(np.concatenate([x, y]))
+                        both = np.count_nonzero(both[1:] == both[:-1])
+                        ok[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
+                    yield batch.select(["a", "b"]).filter(pa.array(ok))
 
         return match
 
