@@ -39,9 +39,15 @@ def classes(sets, threshold):
             x = root[x]
         return x
 
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if jaccard(sets[a], sets[b]) >= threshold:
+    held = {}
+    for i in ids:
+        for x in sets[i]:
+            held.setdefault(x, []).append(i)
+    # only sets with a common element can be similar
+    near = {i: set().union(*(held[x] for x in sets[i])) for i in ids}
+    for a in ids:
+        for b in near[a]:
+            if b < a and find(a) != find(b) and jaccard(sets[a], sets[b]) >= threshold:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
