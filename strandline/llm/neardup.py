@@ -131,16 +131,15 @@ def arrays_of(column: pa.Array) -> list[np.ndarray]:
     return [x.values.to_numpy().view(U) for x in column]
 
 
-def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]], most: int | None):
+def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]]):
     """mapInArrow function: (pivot, id, hp, h) to (id, key): a key for each element that an id
-    adds to its pivot (beyond ``most``, for those of a MinHash), and bands of a MinHash of
-    the elements it lacks."""
+    adds to its pivot, and bands of a MinHash of the elements it lacks."""
     from strandline.llm.minhash import band_keys, dart_signatures
 
-    def signed(sets, k):
+    def signed(sets):
         rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         flat = np.concatenate([np.zeros(0, U), *sets])
-        return dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(sets), k)
+        return dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,11 +150,8 @@ def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]], most: int |
                 sides = [decode(batch.column(c)) for c in ("hp", "h")]
                 lacks = [np.setdiff1d(p, h) for p, h in zip(*sides, strict=True)]
                 adds = [np.setdiff1d(h, p) for p, h in zip(*sides, strict=True)]
-                bands = band_keys(signed(lacks, 64 if most is None else 32), 4)
-                few = None if most is None else signed(adds, most)
+                bands = band_keys(signed(lacks), 4)
                 for i, own in enumerate(adds):
-                    if few is not None and len(own) > most:
-                        own = few[i]
                     if len(lacks[i]):
                         own = np.r_[own, bands[i] ^ U(0x5BD1E995)]
                     keys.append(mix(own ^ mix(pivot[i : i + 1].view(U))))
@@ -199,7 +195,7 @@ def text_check(decode: Callable[[pa.Array], list[np.ndarray]]):
     return check
 
 
-def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float, check=verified, decode=arrays_of, most: int | None = None) -> DataFrame:
+def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float, check=verified, decode=arrays_of) -> DataFrame:
     """(id, root) for the ids of ``bands`` (id, key) that are linked to another one.
 
     ``features`` gives (id, h) of wanted ids, ``check`` compares pairs of them, ``decode`` makes
@@ -223,7 +219,7 @@ def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[Data
         return first.roots
     pairs = left.select("pivot", "id").distinct()
     sets = pairs.join(feats.select(F.col("id").alias("pivot"), F.col("h").alias("hp")), "pivot").join(feats, "id").select("pivot", "id", "hp", "h")
-    again = scratch.put(sets.mapInArrow(difference_keys(decode, most), "id long, key long"))
+    again = scratch.put(sets.mapInArrow(difference_keys(decode), "id long, key long"))
     again_members = first.stars(again)
     first.verify(first.labelled(again_members.where("id <> pivot")).join(first.roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left").where("label <> coalesce(pr, pivot)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     first.exhaust(again_members)

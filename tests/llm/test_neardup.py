@@ -177,6 +177,32 @@ def test_many_edited_copies_of_a_line(spark):
     assert got == removed_by_hand(rows)
 
 
+def test_lines_at_the_threshold_are_found_at_production_parameters(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(1200):
+        # 31 to 60 shingles, of which a ninth differ on either side
+        common = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(35, 62)))
+        tails = ["".join(rng.choice("0123456789") for _ in range((len(common) - 7) // 8)) for _ in "ab"]
+        rows += [(2 * i, f"x{common}{tails[0]}"), (2 * i + 1, f"x{common}{tails[1]}")]
+    got = {(r.doc_id, x.pos) for r in linededup.removals(table(spark, rows)).collect() for x in r.removed}
+    want = removed_by_hand(rows)
+    assert got == want and len(want) > 1000
+
+
+def test_line_dedup_at_production_parameters_equals_brute_force(spark, line_rows):
+    got = {(r.doc_id, x.pos) for r in linededup.removals(table(spark, line_rows)).collect() for x in r.removed}
+    assert got == removed_by_hand(line_rows)
+
+
+def test_every_added_shingle_is_a_difference_key():
+    sets = [np.arange(1, 100, dtype=np.uint64), np.arange(1, 180, dtype=np.uint64)]
+    column = lambda x: pa.array([x.view(np.int64)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), column(sets[0]), column(sets[1])], names=["pivot", "id", "hp", "h"])
+    (out,) = neardup.difference_keys(neardup.arrays_of)(iter([batch]))
+    assert len(set(out.column("key").to_pylist())) == 80
+
+
 def test_char_shingles_and_bins():
     points = np.frombuffer("abcdefghij".encode("utf-32-le"), np.uint32)
     line, h = linededup.char_shingles(np.concatenate([points, points]), np.array([10, 10]), 7)
