@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandline.llm.scratch import Scratch
 from strandline.llm.textnum import mix
@@ -92,8 +92,8 @@ class Search:
     def mixed(self, members: DataFrame) -> DataFrame:
         """The members (key, id, pivot) besides pivots, with labels, of keys where they differ."""
         rest = self.labelled(members.where("id <> pivot"))
-        several = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        return self.scratch.put(rest.join(several.select("key", "main"), "key"))
+        several = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("many")).where("labels > 1")
+        return self.scratch.put(rest.join(several.select("key", "main", "many"), "key"))
 
     def stars(self, bands: DataFrame) -> DataFrame:
         """Members (key, id, pivot) of the keys that several ids of ``bands`` share.
@@ -111,16 +111,26 @@ class Search:
 
     def exhaust(self, members: DataFrame) -> None:
         """Compares, in each key, all ids of different classes, by 8, 32, 128, ... pivots at a
-        time taken outside the key's largest class."""
+        time taken outside the key's largest class. Where ``members`` have a ``size`` (of the
+        set), pairs too different in size are left out. The ids of a large key are dealt in
+        blocks, each of which meets all the pivots."""
         slots, open_ = 8, members
+        columns = members.columns
+        own = [c for c in ("size",) if c in columns]
+        blocks = F.floor(F.col("many") / 2000) + 1
         while True:
             left = self.mixed(open_)
             if left.isEmpty():
                 return
-            chosen = left.where("label <> main").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "label")).alias("p"))
-            chosen = self.scratch.put(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("at")))
-            self.verify(left.join(chosen, "key").where("label <> at and id <> a").select("a", F.col("id").alias("b")))
-            rest = left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id", "pivot")
+            chosen = left.where("label <> main").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "label", "many", *own)).alias("p"))
+            chosen = self.scratch.put(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("at"), F.col("p.many").alias("many"), *[F.col("p.size").alias("size_a") for _ in own]))
+            dealt = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks))
+            pivots = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("many")
+            pairs = dealt.join(pivots, ["key", "block"]).where("label <> at and id <> a")
+            if own:
+                pairs = pairs.where(F.least("size", "size_a") >= self.threshold * F.greatest("size", "size_a") - 1e-9)
+            self.verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+            rest = left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select(*columns)
             open_ = self.scratch.put(rest)
             self.scratch.drop(left, chosen)
             slots *= 4
@@ -201,14 +211,15 @@ def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[Data
     ``features`` gives (id, h) of wanted ids, ``check`` compares pairs of them, ``decode`` makes
     hash sets of ``h`` on Python's side.
 
-    First every bucket is compared with its pivot. Two ids of one bucket that are still in
-    different classes can only be similar if they differ from the pivot in the same
-    places: with D the symmetric difference to the pivot, similarity asks that
-    |Dx & Dy| >= (|Dx| + |Dy| - (|x| + |y|) * (1 - t) / (1 + t)) / 2, which is over half of either D
-    for an id not linked to the pivot. So those ids are searched again by the elements
-    they add to the pivot and by bands of those they lack, and there every pair of
-    different classes is compared. A bucket's pairs are never made as such, however
-    many edited copies of one text it holds.
+    First every bucket is compared with its pivot. Ids that are still in different classes
+    are then searched by where they differ from the pivot: by the elements they add to it
+    and by bands of those they lack. That joins most classes cheaply, but not all: of two
+    ids of which one is linked to the pivot, or that only lack elements, the differences
+    may overlap too little to meet. So at last the ids of each bucket that are in different
+    classes still are compared themselves, pivots outside the largest class with all others:
+    no two similar ids that share a band stay apart. The pairs of a bucket whose ids are
+    mostly unlike each other grow with the square of their number; only those of like size
+    are compared.
     """
     first = Search(scratch, check, threshold)
     members = first.stars(bands)
@@ -223,4 +234,7 @@ def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[Data
     again_members = first.stars(again)
     first.verify(first.labelled(again_members.where("id <> pivot")).join(first.roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left").where("label <> coalesce(pr, pivot)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     first.exhaust(again_members)
+    if isinstance(feats.schema["h"].dataType, T.ArrayType):
+        members = members.join(feats.select("id", F.size("h").alias("size")), "id")
+    first.exhaust(members)
     return first.roots

@@ -77,6 +77,22 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert got[2005] == 2004 and got[2007] == 2006 and got[2009] == 2008
 
 
+def test_cut_copies_beside_edited_ones(spark):
+    rng = random.Random(21)
+    base = [f"v{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(80):  # pairs under the threshold to the base, over it to each other
+        shared = rng.sample(range(100), 14)
+        for _ in "xy":
+            gone = {*shared, *rng.sample(sorted(set(range(100)) - set(shared)), 8)}
+            texts.append(" ".join(x for i, x in enumerate(base) if i not in gone))
+    texts += [" ".join(base[: 100 - n]) for n in range(5, 60, 3)]
+    texts += [edited(texts[0], rng.choice([4, 8, 12, 16]), rng) for _ in range(40)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows), width=1).collect()}
+    assert got == classes({i: shingles(t, 1) for i, t in rows}, 0.8)
+
+
 def test_keep_one(spark, corpus):
     docs = table(spark, [*corpus, (2000, corpus[-11][1])])
     kept = minhash.keep_one(docs)
