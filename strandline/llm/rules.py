@@ -4,8 +4,8 @@ A line (lower-cased, white space collapsed) that more distinct documents of one
 host hold than the limit allows is removed from all of them; a document left
 with too few of its words is rejected. The limit is ``least`` documents or
 ``share`` of the host's documents, whichever is more. Documents with the same
-text count once, and lines of over ``longest`` words are prose whose repetition
-is for the dedup operators, so copies do not condemn each other.
+text count once, so copies do not condemn each other. Lines count whatever their
+length.
 
 Null text counts as empty (no words, hence ``base_failed``); null hosts are one
 host. Rows that repeat id and text get the same verdict. The text may hold any
@@ -76,13 +76,13 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
 
 
-def document_lines(docs: DataFrame, longest: int) -> DataFrame:
-    """doc_id, t, host, pos, line (hash of its normal form) and words, of lines with 1 to ``longest`` words."""
+def document_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, t, host, pos, line (hash of its normal form) and words, of lines with any word."""
     plain = F.translate(F.lower("text"), "\t\x0b\x0c\r", "    ")
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host"), F.posexplode(F.split(plain, "\n")).alias("pos", "raw"))
     rows = rows.withColumn("normal", normal_line(F.col("raw"))).where("normal <> ''")
     words = F.length("normal") - F.length(F.replace("normal", F.lit(" "), F.lit(""))) + 1
-    return rows.select("doc_id", "t", "host", "pos", F.xxhash64("normal").alias("line"), words.cast("long").alias("words")).where(F.col("words") <= longest)
+    return rows.select("doc_id", "t", "host", "pos", F.xxhash64("normal").alias("line"), words.cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
@@ -92,18 +92,18 @@ def frequent_lines(docs: DataFrame, lines: DataFrame, least: int, share: float)
     return counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), share * F.col("docs"))).select("host", "line")
 
 
-def line_verdicts(docs: DataFrame, least: int, share: float, longest: int) -> DataFrame:
+def line_verdicts(docs: DataFrame, least: int, share: float) -> DataFrame:
     """doc_id, t, gone (sorted positions of removed lines) and gone_words, of documents that lose lines."""
-    lines = Scratch(docs.sparkSession, "rules").put(document_lines(docs, longest))
+    lines = Scratch(docs.sparkSession, "rules").put(document_lines(docs))
     hit = lines.join(frequent_lines(docs, lines, least, share), ["host", "line"])
     gone = hit.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("pos", "words"))).alias("g"))
     return gone.select("doc_id", "t", F.col("g.pos").alias("gone"), F.aggregate(F.col("g.words"), F.lit(0).cast("long"), lambda a, x: a + x).alias("gone_words"))
 
 
-def judge(docs: DataFrame, least: int = 5, share: float = 0.02, longest: int = 40, left: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, least: int = 5, share: float = 0.02, left: float = 0.5) -> DataFrame:
     """``base_rules`` with gone, gone_words, depleted and kept. A document is depleted
     if less than ``left`` of its words remain."""
-    gone = line_verdicts(docs, least, share, longest).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "gone", "gone_words")
+    gone = line_verdicts(docs, least, share).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "gone", "gone_words")
     base = base_rules(docs)
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left").drop("_d", "_t")
     joined = joined.withColumn("gone_words", F.coalesce("gone_words", F.lit(0).cast("long")))

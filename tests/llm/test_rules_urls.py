@@ -48,6 +48,17 @@ def test_frequent_lines_deplete(spark):
     assert rules.judge(docs.limit(0)).count() == 0 and rules.clean(docs.limit(0)).columns == docs.columns
 
 
+def test_long_lines_count(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    licence = " ".join(f"term{k}" for k in range(41))
+    rows = [(i, f"{own(i)}\n{licence}", "h") for i in range(10)] + [(20, "\n".join([licence] * 2 + ["some own words"]), "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert all(got[i].kept and got[i].gone == [1] and got[i].gone_words == 41 for i in range(10))
+    assert got[20].depleted and not got[20].kept
+    assert {r.doc_id: r.text for r in rules.clean(docs).collect()} == {i: own(i) for i in range(10)}
+
+
 @pytest.mark.parametrize("url, host, path, rule", [
     ("http://A.Example.COM/en/1?x#y", "a.example.com", "/en/1", "example.com/en/"), ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/"), ("x://b.net/fr/1", "b.net", "/fr/1", "net/fr/"),
     ("x://net/es/", "net", "/es/", "net/es/"), ("x://notnet/es/", "notnet", "/es/", None), ("http://e.com?x", "e.com", "", None), ("no scheme", "", "", None), (None, "", "", None), ("a://b://c/d", "b:", "//c/d", None),
