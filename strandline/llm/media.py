@@ -51,11 +51,15 @@ def from_wav(media: bytes) -> bytes:
         return f.readframes(f.getnframes())
 
 
+def frame_count(n: int) -> int:
+    """Frames that cover ``n`` samples, the last one padded if need be."""
+    return max(0, -(-(n - FRAME) // HOP)) + 1
+
+
 def spectrum(samples: np.ndarray) -> np.ndarray:
-    """(frames, bins) magnitudes of Hann-windowed frames; a short signal is one padded frame."""
+    """(frames, bins) magnitudes of Hann-windowed frames; silence fills the last frame."""
     x = (samples.astype(np.float32) - 128) / 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, (frame_count(len(x)) - 1) * HOP + FRAME - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     return np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1))
 
@@ -63,7 +67,7 @@ def spectrum(samples: np.ndarray) -> np.ndarray:
 def fingerprint(samples: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(codes, times): pairs of band peaks, with the first one's frame."""
     peaks = []
-    total = max(1, (len(samples) - FRAME) // HOP + 1)
+    total = frame_count(len(samples))
     for lo in range(0, total, block):  # long signals go through in blocks of frames
         mags = spectrum(samples[lo * HOP : (min(lo + block, total) - 1) * HOP + FRAME])
         peaks.append(np.stack([a + mags[:, a:b].argmax(1) for a, b in zip(BANDS, BANDS[1:], strict=False)], 1))

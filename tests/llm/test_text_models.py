@@ -141,3 +141,17 @@ def test_media_peaks():
     assert (codes == again).all() and (times == times2).all() and (np.diff(times) >= 0).all()
     with pytest.raises(Exception):
         media.from_wav(b"not a file")
+
+
+@pytest.mark.parametrize("n", [64, 512, 576, 704, 768, 832, 8256])
+def test_media_frames_reach_the_end(n):
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 256, n).astype(np.uint8)
+    b = a.copy()
+    b[-64:] = rng.integers(0, 256, 64)
+    assert len(media.spectrum(a)) == max(0, -(-(n - 512) // 256)) + 1
+    assert not np.array_equal(media.spectrum(a)[-1], media.spectrum(b)[-1])
+    whole, parts = media.fingerprint(a), media.fingerprint(a, block=3)
+    assert all(np.array_equal(x, y) for x, y in zip(whole, parts, strict=True))
+    padded = media.fingerprint(np.r_[a, np.full(-(n - 512) % 256 if n > 512 else 512 - n, 128, np.uint8)])
+    assert all(np.array_equal(x, y) for x, y in zip(whole, padded, strict=True))
