@@ -6,9 +6,9 @@ loss, where each bit's logistic loss is weighted by that bit's training accuracy
 ``score`` is the chosen codeword's share among exp(-loss); a text is ``ambiguous``
 if the runner-up's loss is within ``margin``.
 
-A null text or one without a letter is ``und`` with score 0. Training uses at
-most ``sample`` rows, those of the least hashes; without any, all is ``und``. Repeated
-rows get the same answer; null languages are not learned. Other columns are passed by.
+A null text or one without a letter is ``und`` with score 0. Training uses at most
+``sample`` documents of each language (of the 256 most frequent ones), those of the
+least hashes; without any, all is ``und``. Repeated rows get the same answer; null languages are not learned. Other columns are passed by.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from strandline.llm import textnum as tn
-from strandline.llm.linear import sample_of, train
+from strandline.llm.linear import train
+from strandline.llm.sampling import sample_of
 from strandline.llm.scratch import ship
 
 U = np.uint64
@@ -72,11 +73,11 @@ def gram_matrix(texts: pa.Array, bits: int) -> np.ndarray:
     return np.sqrt(out / np.maximum(total, 1))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = 6_000, bits: int = 12, shards: int = 6, epochs: int = 60, rate: float = 4.0, ridge: float = 1e-5) -> dict:
+def fit(docs: DataFrame, labelled: DataFrame, sample: int = 1_500, bits: int = 12, shards: int = 6, epochs: int = 60, rate: float = 4.0, ridge: float = 1e-5) -> dict:
     """Model from ``docs`` (doc_id, text) and ``labelled`` (doc_id, lang)."""
     ship(docs.sparkSession)
     rows = sample_of(docs, labelled, sample, "lang")
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # at most `sample` rows
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # a bounded sample
     if not langs:
         return {"langs": []}
     code, size = codewords(len(langs)), 1 << bits
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = 6_000, bits: int = 1
         right = (np.sign(x @ w + b) == goal).mean(0)
         return np.r_[w.ravel(), b, right]
 
-    flat = train(rows, one, (size + 2) * width, max(1, min(shards, min(sample, labelled.count()) // 1_000)))
+    flat = train(rows, one, (size + 2) * width, max(1, min(shards, min(sample * len(langs), labelled.count()) // 1_000)))
     w, b, right = flat[: size * width].reshape(size, width), flat[size * width : -width], flat[-width:]
     return {"langs": langs, "code": code, "w": w.astype(np.float32), "b": b, "bits": bits, "trust": np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999))) / np.log(999)}
 

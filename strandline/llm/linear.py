@@ -1,4 +1,4 @@
-"""Sharded training of small linear models on a bounded labelled sample.
+"""Sharded training of small linear models.
 
 Rows are dealt to shards by hash; every shard trains on its rows in a fixed order and
 the models are averaged, so a rerun or a lost executor gives the same result.
@@ -11,15 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def sample_of(docs: DataFrame, labelled: DataFrame, sample: int, label: str) -> DataFrame:
-    """Texts of ``docs`` for at most ``sample`` of the ``labelled`` rows (doc_id, label): those
-    whose doc_id has the least hashes. Only these keys are sorted and broadcast."""
-    keys = labelled.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    return rows.withColumn("order_", F.xxhash64("doc_id"))
-
-
 def train(rows: DataFrame, fit, size: int, shards: int = 6) -> np.ndarray:
     """The mean of the models that ``fit(shard's pandas rows)`` gives: ``size`` floats."""
 

@@ -1,12 +1,12 @@
 """Fuzzy line dedup: MinHash over character shingles, exact check, union-find.
 
-Lines are the ``\\n``-separated parts of a text. A line of at least ``shortest``
-characters (stripped) takes part; shorter ones always stay, since a few
-characters do not identify a line. Lines are lower-cased and stripped, hashed
-into ``width``-character shingles, and signed by one-permutation MinHash whose
-empty bins are filled from other bins. Lines that share one of ``bands`` bands
-are compared exactly; a class of similar lines keeps its first line by doc_id
-(null first), text hash and position.
+Lines are the ``\\n``-separated parts of a text. Every line of at least ``shortest``
+characters (stripped) takes part, by default all that are not blank. Lines are
+lower-cased and stripped, hashed into ``width``-character shingles (a shorter
+line is one shingle, so only its equals match it), and signed by one-permutation
+MinHash whose empty bins are filled from other bins. Lines that share one of
+``bands`` bands are compared exactly; a class of similar lines keeps its first
+line by doc_id (null first), text hash and position.
 
 Null and empty texts have no lines that take part. Rows that repeat both doc_id
 and text count as one document and lose the same lines. Other columns, whatever
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.llm import textnum as tn
 from strandline.llm.minhash import band_keys
-from strandline.llm.neardup import similar_classes, text_check
+from strandline.llm.neardup import sets_of, similar_classes
 from strandline.llm.scratch import Scratch
 
 U = np.uint64
+#: Odd factors that make the hashes of each round.
+_ODD = [1, *(int(x) | 1 for x in tn.mix(np.arange(1, 8, dtype=U)))]
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -47,17 +49,39 @@ def char_shingles(points: np.ndarray, lens: np.ndarray, width: int) -> tuple[np.
             break
         h = h[:-have] * U(pow(base, have, 1 << 64)) + h[have:]
         have *= 2
-    firsts = np.cumsum(lens) - lens
-    count = lens - width + 1
-    return np.repeat(np.arange(len(lens)), count), tn.mix(part[tn.ragged(firsts, count)])
+    # no shingle starts at the last characters of a line
+    whole, ends = np.ones(len(points) - width + 1, bool), np.cumsum(lens)
+    for back in range(1, width):
+        at = ends[:-1] - back
+        whole[at[at < len(whole)]] = False
+    return np.repeat(np.arange(len(lens)), lens - width + 1), tn.mix(part[: len(whole)][whole])
 
 
-def one_permutation(line: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """(n, bins) minima by bin; an empty bin copies a filled one chosen by its number."""
+def one_permutation(line: np.ndarray, h: np.ndarray, n: int, bins: int, rounds: int = 3) -> np.ndarray:
+    """(n, bins) minima by bin. Bins that stay empty get another round of the same shingles with
+    other hashes; those that are empty after the last one have the largest value."""
     top = np.iinfo(U).max
-    flat = np.full(n * bins, top, U)
-    np.minimum.at(flat, line * bins + ((h >> U(32)) * U(bins) >> U(32)).astype(np.int64), h)
-    out = flat.reshape(n, bins)
+    flat, first = np.full(n * bins, top, U), line * bins
+    for turn in range(rounds):
+        x = h * U(_ODD[turn])
+        at = x >> U(32)
+        at *= U(bins)
+        at >>= U(32)
+        at = at.view(np.int64)
+        at += first
+        if turn:
+            empty = np.flatnonzero(flat[at] == top)
+            at, x = at[empty], x[empty]
+        np.minimum.at(flat, at, x)
+        if not turn:  # lines without empty bins are done
+            open_ = (flat.reshape(n, bins) == top).any(1)[line]
+            first, h = first[open_], h[open_]
+    return flat.reshape(n, bins)
+
+
+def without_empty(out: np.ndarray) -> np.ndarray:
+    """``out`` of ``one_permutation``; an empty bin copies a filled one chosen by its number."""
+    top, bins = np.iinfo(U).max, out.shape[1]
     empty_row, empty_bin = np.nonzero(out == top)
     source = out.copy()
     turn = 0
@@ -75,17 +99,15 @@ def _lines(text: str | None) -> list[str]:
     return [x.strip(_STRIP) for x in (text or "").lower().split("\n")]
 
 
-def _points(lines: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, lengths) of a column without nulls."""
+    raw, _ = tn.buffers(lines)
+    return np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), pc.utf8_length(lines).to_numpy().astype(np.int64)
 
 
-def _ids(points: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lens)
-    return tn.span_hashes(points, ends - lens, ends).astype(np.int64)
-
-
-def line_sketch(width: int, shortest: int, bands: int, rows: int):
-    """mapInArrow function: (doc_id, t, text) to (doc_id, t, pos, id, keys) of lines that take part."""
+def split_lines(shortest: int):
+    """mapInArrow function: (doc_id, t, text) to (doc_id, t, pos, id, size, line) of lines that take
+    part; the line itself comes with the first of equal ones of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,77 +122,71 @@ def line_sketch(width: int, shortest: int, bands: int, rows: int):
                             pos.append(j)
                 if not lines:
                     continue
-                lens = np.fromiter(map(len, lines), np.int64, len(lines))
-                ids = _ids(_points(lines), lens)
-                _, first = np.unique(ids, return_index=True)
-                first.sort()
-                line, h = char_shingles(_points([lines[i] for i in first]), lens[first], width)
-                keys = band_keys(one_permutation(line, h, len(first), bands * rows), rows)
-                some = np.zeros(len(lines), np.int64)
-                some[first] = bands
+                column = pa.array(lines, pa.string())
+                points, lens = _points(column)
+                ends = np.cumsum(lens)
+                ids = tn.span_hashes(points, ends - lens, ends).astype(np.int64)
+                first = np.zeros(len(ids), bool)
+                first[np.unique(ids, return_index=True)[1]] = True
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), part.column("t").take(take), pa.array(pos, pa.int32()), pa.array(ids), tn.lists(keys.ravel(), some)],
-                    names=["doc_id", "t", "pos", "id", "keys"],
+                    [part.column("doc_id").take(take), part.column("t").take(take), pa.array(pos, pa.int32()), pa.array(ids), pa.array(lens), pc.if_else(pa.array(first), column, pa.scalar(None, pa.string()))],
+                    names=["doc_id", "t", "pos", "id", "size", "line"],
                 )
 
     return run
 
 
-def line_shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle hash) of a column of stripped, lower-cased lines."""
-    lines = column.to_pylist()
-    return char_shingles(_points(lines), np.fromiter(map(len, lines), np.int64, len(lines)), width)
+def line_shingles(lines: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle hash) of lines; one shorter than ``width`` is one shingle, filled up with zeros."""
+    return char_shingles(*_points(pc.utf8_rpad(lines, width, "\0")), width)
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (doc_id, t, text) with the text compressed, for a lighter shuffle."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        z = [press.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(z, pa.binary())], names=["doc_id", "t", "z"])
+def line_keys(width: int, bands: int, rows: int):
+    """mapInArrow function: (id, line) to (id, keys: packed)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = []
+            for lo, hi in tn.chunks(batch.column("line"), 1 << 17):  # as much as fits the cache
+                minima.append(one_permutation(*line_shingles(batch.column("line").slice(lo, hi - lo), width), hi - lo, bands * rows))
+            if minima:
+                keys = band_keys(without_empty(np.concatenate(minima)), rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), tn.packed(keys.ravel(), np.full(len(batch), bands))], names=["id", "keys"])
 
-def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (z, at: positions and ids wanted) to (id, h: the line as compared)."""
-    open_ = zstandard.ZstdDecompressor()
-    for batch in batches:
-        ids, out = [], []
-        for z, at in zip(batch.column("z").to_pylist(), batch.column("at").to_pylist(), strict=True):
-            lines = _lines(open_.decompress(z).decode("utf-8", "surrogatepass"))
-            ids += [x["id"] for x in at]
-            out += [lines[x["pos"]] for x in at]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "h"])
+    return run
 
 
-def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 8, shortest: int = 20, bands: int = 10, rows: int = 3) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shortest: int = 1, bands: int = 24, rows: int = 6) -> DataFrame:
     """The lines to remove: doc_id, t, pos, and the line that stays (kept_doc, kept_pos).
 
-    With 10 bands of 3, a pair at 0.8 is found with probability 0.9992.
+    With 24 bands of 6, a pair at 0.8 is found with probability 0.9993 if all values are independent;
+    measured on lines of 32 to 200 shingles right at 0.8: 11 of 60,000 pairs missed.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    sketched = scratch.put(texts.mapInArrow(line_sketch(width, shortest, bands, rows), f"doc_id {kind}, t long, pos int, id long, keys array<long>"))
-    named = sketched.select("id", "doc_id", "t", "pos")
+    lines = scratch.put(texts.mapInArrow(split_lines(shortest), f"doc_id {kind}, t long, pos int, id long, size long, line string"))
+    first = lines.where("line is not null")
 
-    def features(ids: DataFrame) -> DataFrame:
-        firsts = named.groupBy("id").agg(F.min(F.struct("doc_id", "t", "pos")).alias("f")).join(ids, "id", "left_semi")
-        wanted = firsts.groupBy(F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt")).agg(F.collect_list(F.struct(F.col("f.pos").alias("pos"), "id")).alias("at"))
-        pressed = texts.mapInArrow(packed, f"doc_id {kind}, t long, z binary")
-        found = pressed.join(wanted, pressed["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("z", "at")
-        return found.mapInArrow(wanted_lines, "id long, h string").dropDuplicates(["id"])
+    def sizes(ids: DataFrame) -> DataFrame:
+        return lines.select("id", "size").join(ids, "id", "left_semi").groupBy("id").agg(F.max("size").alias("size"))
 
-    def decode(column: pa.Array) -> list[np.ndarray]:
-        row, h = line_shingles(column, width)
-        return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(column))))]
+    def features(wanted: DataFrame) -> DataFrame:
+        return first.select("id", F.col("line").alias("h")).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
-    bands_of = sketched.select("id", F.explode("keys").alias("key"))
-    roots = similar_classes(scratch, bands_of, features, threshold, text_check(decode), decode)
-    labelled = named.join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "t", "pos")
-    heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t", "pos")).alias("head"), F.count("*").alias("n")).where("n > 1").select("root", "head")
+    def decode(column: pa.Array) -> list[np.ndarray]:
+        return sets_of(*line_shingles(column, width), len(column))
+
+    sketched = first.select("id", "line").mapInArrow(line_keys(width, bands, rows), "id long, keys binary")
+    roots = similar_classes(scratch, sketched, first.count() * bands, sizes, features, threshold, decode)
+    labelled = lines.select("id", "doc_id", "t", "pos").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "t", "pos")
+    # most lines are alone in their class; only the others need an order
+    several = scratch.put(labelled.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
+    among = labelled.join(several, "root")
+    heads = among.groupBy("root").agg(F.min(F.struct("doc_id", "t", "pos")).alias("head"))
     return (
-        labelled.join(heads, "root")
+        among.join(heads, "root")
         .where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("head")))
         .select("doc_id", "t", "pos", F.col("head.doc_id").alias("kept_doc"), F.col("head.pos").alias("kept_pos"))
     )

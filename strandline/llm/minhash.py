@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm import textnum as tn
-from strandline.llm.neardup import similar_classes
+from strandline.llm.neardup import sets_of, similar_classes
 from strandline.llm.scratch import Scratch
 
 U = np.uint64
@@ -118,7 +118,7 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch(width: int, k: int, rows: int):
-    """mapInArrow function: (doc_id, t, text) to (doc_id, t, id, keys)."""
+    """mapInArrow function: (doc_id, t, text) to (doc_id, t, id, size, keys: packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,27 +131,24 @@ def sketch(width: int, k: int, rows: int):
                 _, first = np.unique(ids, return_index=True)
                 some = np.zeros(len(part), np.int64)
                 some[first] = keys.shape[1]
+                size = np.bincount(row, weights=c, minlength=len(part)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("t"), pa.array(ids), tn.lists(keys[np.sort(first)].ravel(), some)], names=["doc_id", "t", "id", "keys"]
+                    [part.column("doc_id"), part.column("t"), pa.array(ids), pa.array(size), tn.packed(keys[np.sort(first)].ravel(), some)], names=["doc_id", "t", "id", "size", "keys"]
                 )
 
     return run
 
 
-def shingle_sets(width: int):
-    """mapInArrow function: (id, text) to (id, h), each shingle repeated by its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in tn.chunks(batch.column("text"), 1 << 19):
-                part = batch.slice(lo, hi - lo)
-                row, h, c = tn.word_shingles(part.column("text"), width)
-                copies = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                h = np.repeat(h, c)
-                h[copies > 0] = tn.mix(h[copies > 0] + copies[copies > 0].astype(U))
-                yield pa.RecordBatch.from_arrays([part.column("id"), tn.lists(h, np.bincount(row, weights=c, minlength=len(part)).astype(np.int64))], names=["id", "h"])
-
-    return run
+def counted_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """The shingles of each text as a set: the second, third, ... of equal ones count as others."""
+    out = []
+    for lo, hi in tn.chunks(column, 1 << 19):
+        row, h, c = tn.word_shingles(column.slice(lo, hi - lo), width)
+        copies = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        h = np.repeat(h, c)
+        h[copies > 0] = tn.mix(h[copies > 0] + copies[copies > 0].astype(U))
+        out += sets_of(np.repeat(row, c), h, hi - lo)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k: int = 64, rows: int = 4) -> DataFrame:
@@ -163,16 +160,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = scratch.put(texts.mapInArrow(sketch(width, k, rows), f"doc_id {kind}, t long, id long, keys array<long>"))
-    bands = sketched.select("id", F.explode("keys").alias("key"))
+    sketched = scratch.put(texts.mapInArrow(sketch(width, k, rows), f"doc_id {kind}, t long, id long, size long, keys binary"))
     named = sketched.select("id", "doc_id", "t")
 
-    def features(ids: DataFrame) -> DataFrame:
-        firsts = named.groupBy("id").agg(F.min(F.struct("doc_id", "t")).alias("f")).join(ids, "id", "left_semi").select("id", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
-        found = texts.join(firsts, texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("id", "text")
-        return found.mapInArrow(shingle_sets(width), "id long, h array<long>").dropDuplicates(["id"])
+    def sizes(ids: DataFrame) -> DataFrame:
+        return sketched.join(ids, "id", "left_semi").groupBy("id").agg(F.max("size").alias("size"), F.min(F.struct("doc_id", "t")).alias("f"))
+
+    def features(firsts: DataFrame) -> DataFrame:
+        wanted = firsts.select("id", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
+        # always the same join, so that small tables tell what large ones cost
+        found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")))
+        return found.select("id", F.coalesce("text", F.lit("")).alias("h")).dropDuplicates(["id"])
 
-    roots = similar_classes(scratch, bands, features, threshold)
+    roots = similar_classes(scratch, sketched, sketched.count() * (k // rows), sizes, features, threshold, lambda column: counted_sets(column, width))
     labelled = named.join(roots, "id", "left").select("doc_id", "t", F.coalesce("root", "id").alias("root"))
     heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("head"), F.count("*").alias("class_size"))
     return labelled.join(heads, "root").select("doc_id", "t", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), "class_size")

@@ -1,8 +1,19 @@
-"""Shared parts of the near-duplicate operators: verified links and union-find.
-
-Entities are 64-bit content hashes. Candidates come from banded signatures; each
-bucket is searched by pivots, so neither a bucket's pairs nor its members are
-ever brought together in one task.
+"""Shared parts of the near-duplicate operators: shared bands, exact comparison, union-find.
+
+Entities are 64-bit content hashes, so copies are one entity. Steps:
+
+1. ``collisions``: the ids whose band keys other ids have too. Keys travel as packed
+   blobs and each task first folds its own, so a key that a third of all rows share
+   reaches its reducer as one entry a task.
+2. ``groups``: buckets with the same pivot are one group, so an id meets its original
+   once, not once a band.
+3. Groups are dealt in blocks of at most ``BLOCK`` ids; a block (with the pivot) is
+   compared exactly, all with all, inside one task; only links come out.
+4. Groups of several blocks that are still in several classes: every id outside the
+   largest class is compared with the ids of the other classes, block by block.
+
+So no two similar ids that share a band stay apart, and neither pairs nor a whole group
+are ever rows of a table or held by one task.
 """
 
 from __future__ import annotations
@@ -11,24 +22,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
+from strandline.llm import textnum as tn
 from strandline.llm.scratch import Scratch
-from strandline.llm.textnum import mix
 
 U = np.uint64
-
-
-def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose feature sets ``h`` have a Jaccard similarity of ``threshold`` or more."""
-    left = features.select(F.col("id").alias("a"), F.col("h").alias("ha"))
-    right = features.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    # sets too different in size cannot reach the threshold; they need no intersection
-    small, large = F.least(F.size("ha"), F.size("hb")), F.greatest(F.size("ha"), F.size("hb"))
-    # both / (a + b - both) >= t, with the intersection taken once
-    enough = both >= threshold / (1 + threshold) * (F.size("ha") + F.size("hb")) - 1e-9
-    return pairs.join(left, "a").join(right, "b").where((small >= threshold * large) & enough).select("a", "b")
+#: Ids of a group that are compared in one task, and characters (or elements) they may have.
+BLOCK, VOLUME = 256, 8 << 20
+#: Keys folded at a time by a task, keys that a part has on average, keys of a blob passed by,
+#: and bytes of a key that are told apart within a part.
+FLUSH, PART, BLOB, LOW = 1 << 21, 1 << 20, 1 << 15, 5
 
 
 def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
@@ -69,172 +74,268 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-class Search:
-    """Links found so far, and the classes they make."""
-
-    def __init__(self, scratch: Scratch, check: Callable[[DataFrame, DataFrame, float], DataFrame], threshold: float):
-        self.scratch, self.check, self.threshold = scratch, check, threshold
-        self.feats = self.links = self.roots = None
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (id, ...) with the id's class as ``label``."""
-        return rows.join(self.roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (a, b), and joins their classes."""
-        found = self.check(pairs.distinct(), self.feats, self.threshold)
-        old, old_roots = self.links, self.roots
-        self.links = self.scratch.put(found if old is None else old.unionByName(found))
-        self.roots = components(self.scratch, self.links)
-        if old is not None:
-            self.scratch.drop(old, old_roots)
-
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """The members (key, id, pivot) besides pivots, with labels, of keys where they differ."""
-        rest = self.labelled(members.where("id <> pivot"))
-        several = rest.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("many")).where("labels > 1")
-        return self.scratch.put(rest.join(several.select("key", "main", "many"), "key"))
-
-    def stars(self, bands: DataFrame) -> DataFrame:
-        """Members (key, id, pivot) of the keys that several ids of ``bands`` share.
-
-        The pivot is the id that meets most others over all its keys: of edited copies,
-        the one nearest to their original, so that most pairs verify with it.
-        """
-        full = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-        members = self.scratch.put(bands.join(full.select("key", "n"), "key").select("key", "id", "n").distinct())
-        weights = members.groupBy("id").agg(F.sum("n").alias("w"))
-        pivots = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p"))
-        out = self.scratch.put(members.join(pivots.select("key", F.col("p.id").alias("pivot")), "key").select("key", "id", "pivot"))
-        self.scratch.drop(members)
-        return out
+# shared bands
+
+#: Kinds of blobs: an id for each key, and keys with several ids that one task has found.
+_ONE, _FOUND = 0, 1
+
+
+def name(part: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+    """The key as members carry it: its part and its lowest bytes."""
+    return np.asarray(part, U) << U(8 * LOW) | key & U((1 << 8 * LOW) - 1)
+
+
+def fold(parts: int):
+    """mapInArrow function: (id, keys: packed) to blobs (part, kind, keys, ids).
 
-    def exhaust(self, members: DataFrame) -> None:
-        """Compares, in each key, all ids of different classes, by 8, 32, 128, ... pivots at a
-        time taken outside the key's largest class. Where ``members`` have a ``size`` (of the
-        set), pairs too different in size are left out. The ids of a large key are dealt in
-        blocks, each of which meets all the pivots."""
-        slots, open_ = 8, members
-        columns = members.columns
-        own = [c for c in ("size",) if c in columns]
-        blocks = F.floor(F.col("many") / 2000) + 1
-        while True:
-            left = self.mixed(open_)
-            if left.isEmpty():
-                return
-            chosen = left.where("label <> main").groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("id", "label", "many", *own)).alias("p"))
-            chosen = self.scratch.put(chosen.select("key", F.col("p.id").alias("a"), F.col("p.label").alias("at"), F.col("p.many").alias("many"), *[F.col("p.size").alias("size_a") for _ in own]))
-            dealt = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks))
-            pivots = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("many")
-            pairs = dealt.join(pivots, ["key", "block"]).where("label <> at and id <> a")
-            if own:
-                pairs = pairs.where(F.least("size", "size_a") >= self.threshold * F.greatest("size", "size_a") - 1e-9)
-            self.verify(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
-            rest = left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select(*columns)
-            open_ = self.scratch.put(rest)
-            self.scratch.drop(left, chosen)
-            slots *= 4
-
-
-def arrays_of(column: pa.Array) -> list[np.ndarray]:
-    """The hash sets of a list column."""
-    return [x.values.to_numpy().view(U) for x in column]
-
-
-def difference_keys(decode: Callable[[pa.Array], list[np.ndarray]]):
-    """mapInArrow function: (pivot, id, hp, h) to (id, key): a key for each element that an id
-    adds to its pivot, and bands of a MinHash of the elements it lacks."""
-    from strandline.llm.minhash import band_keys, dart_signatures
-
-    def signed(sets):
-        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        flat = np.concatenate([np.zeros(0, U), *sets])
-        return dart_signatures(rows, flat, np.ones(len(flat), np.int64), len(sets))
+    A key's upper bits choose its part, its lowest ``LOW`` bytes tell it from others there; parts
+    grow in number with the keys, so chance meetings stay one in a million (and are compared).
+    Of a key that several ids of this task have, all ids are found already: they pass as
+    they are, dealt evenly, and one entry stands for them at the key's part."""
+
+    def blobs(keys: list, ids: list, turn: int):
+        key, own = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key)
+        key, own = key[order], own[order]
+        at, count = tn.runs(key)
+        several = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
+        part = (key >> U(32)) * U(parts) >> U(32)  # ascending, as keys are
+        first, n = tn.runs(part[at])
+        low = key[at].view(np.uint8).reshape(-1, 8)[:, :LOW]
+        out = [(int(part[at[f]]), _ONE, low[f : f + c], own[at[f : f + c]]) for f, c in zip(first, n, strict=True)]
+        of = np.repeat(several, count)
+        k, i = name(part[of], key[of]), own[of]
+        out += [((turn + j) % parts, _FOUND, k[lo : lo + BLOB], i[lo : lo + BLOB]) for j, lo in enumerate(range(0, len(k), BLOB))]
+        for lo in range(0, len(out), 64):
+            some = out[lo : lo + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.int32()), *[pa.array([x[c].tobytes() for x in some], pa.binary()) for c in (2, 3)]],
+                names=["part", "kind", "keys", "ids"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, len(whole), 1024):
-                batch = whole.slice(lo, 1024)
-                pivot = batch.column("pivot").to_numpy()
-                ids, keys, lens = batch.column("id"), [], []
-                sides = [decode(batch.column(c)) for c in ("hp", "h")]
-                lacks = [np.setdiff1d(p, h) for p, h in zip(*sides, strict=True)]
-                adds = [np.setdiff1d(h, p) for p, h in zip(*sides, strict=True)]
-                bands = band_keys(signed(lacks), 4)
-                for i, own in enumerate(adds):
-                    if len(lacks[i]):
-                        own = np.r_[own, bands[i] ^ U(0x5BD1E995)]
-                    keys.append(mix(own ^ mix(pivot[i : i + 1].view(U))))
-                    lens.append(len(own))
-                take = np.repeat(np.arange(len(lens)), lens)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(take)), pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64))], names=["id", "key"])
+        keys, ids, held, turn = [], [], 0, 0
+        for batch in batches:
+            raw, offsets = tn.buffers(batch.column("keys"), pa.large_binary())
+            own = np.repeat(batch.column("id").to_numpy(), np.diff(offsets) // 8)
+            keys.append(np.frombuffer(raw, U))
+            ids.append(own)
+            held += len(own)
+            if held >= FLUSH:
+                yield from blobs(keys, ids, turn)
+                keys, ids, held, turn = [], [], 0, turn + 1
+        if held:
+            yield from blobs(keys, ids, turn)
 
     return run
 
 
-def text_check(decode: Callable[[pa.Array], list[np.ndarray]]):
-    """A check of pairs whose features ``h`` are texts, of which ``decode`` makes sorted hash
-    sets; within a batch each text is decoded once, however many pairs it is in."""
-
-    def run(threshold):
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for lo in range(0, len(whole), 2048):
-                    batch = whole.slice(lo, 2048)
-                    ids = np.concatenate([batch.column(c).to_numpy() for c in "ab"])
-                    _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-                    texts = pa.concat_arrays([batch.column("ha"), batch.column("hb")]).take(pa.array(first))
-                    sets, (left, right) = decode(texts), of.reshape(2, -1)
-                    size = np.array([len(x) for x in sets])
-                    small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-                    ok = small >= threshold * large
-                    for i in np.flatnonzero(ok):
-                        x, y = sets[left[i]], sets[right[i]]
-                        both = np.sort(np.concatenate([x, y]))
-                        both = np.count_nonzero(both[1:] == both[:-1])
-                        ok[i] = both >= threshold * (len(x) + len(y) - both) - 1e-9
-                    yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-        return match
-
-    def check(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-        left = features.select(F.col("id").alias("a"), F.col("h").alias("ha"))
-        right = features.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(run(threshold), "a long, b long")
-
-    return check
-
-
-def similar_classes(scratch: Scratch, bands: DataFrame, features: Callable[[DataFrame], DataFrame], threshold: float, check=verified, decode=arrays_of) -> DataFrame:
-    """(id, root) for the ids of ``bands`` (id, key) that are linked to another one.
-
-    ``features`` gives (id, h) of wanted ids, ``check`` compares pairs of them, ``decode`` makes
-    hash sets of ``h`` on Python's side.
-
-    First every bucket is compared with its pivot. Ids that are still in different classes
-    are then searched by where they differ from the pivot: by the elements they add to it
-    and by bands of those they lack. That joins most classes cheaply, but not all: of two
-    ids of which one is linked to the pivot, or that only lack elements, the differences
-    may overlap too little to meet. So at last the ids of each bucket that are in different
-    classes still are compared themselves, pivots outside the largest class with all others:
-    no two similar ids that share a band stay apart. The pairs of a bucket whose ids are
-    mostly unlike each other grow with the square of their number; only those of like size
-    are compared.
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: blobs sorted by part to (key, id) of keys with several ids."""
+
+    def rows(key: np.ndarray, own: np.ndarray):
+        for lo in range(0, len(key), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 17)].view(np.int64)), pa.array(own[lo : lo + (1 << 17)])], names=["key", "id"])
+
+    def close(held: list):
+        if held:
+            key, own = (np.concatenate([x[c] for x in held]) for c in (0, 1))
+            order = np.argsort(key)
+            key, own = key[order], own[order]
+            at, count = tn.runs(key)
+            of = np.repeat(np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at), count)
+            yield from rows(key[of], own[of])
+
+    part, held = None, []
+    for batch in batches:
+        for p, kind, keys, ids in zip(*[batch.column(c).to_pylist() for c in ("part", "kind", "keys", "ids")], strict=True):
+            own = np.frombuffer(ids, np.int64)
+            if kind == _FOUND:
+                yield from rows(np.frombuffer(keys, U), own)
+                continue
+            if p != part:
+                yield from close(held)
+                part, held = p, []
+            key = np.zeros((len(own), 8), np.uint8)
+            key[:, :LOW] = np.frombuffer(keys, np.uint8).reshape(-1, LOW)
+            held.append((name(p, key.ravel().view(U)), own))
+    yield from close(held)
+
+
+def collisions(sketched: DataFrame, entries: int) -> DataFrame:
+    """(key, id) of keys that several ids of ``sketched`` (id, keys) have; some rows may repeat."""
+    parts = max(16, min(1 << 23, entries // PART))
+    blobs = sketched.where("length(keys) > 0").select("id", "keys").mapInArrow(fold(parts), "part int, kind int, keys binary, ids binary")
+    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, id long")
+
+
+def groups(members: DataFrame) -> DataFrame:
+    """(pivot, id) of ids that meet in a key of ``members`` (key, id), the pivot not with itself.
+
+    The pivot of a key is the id with the most keys here (ties go by hash, so a rerun chooses the
+    same): of edited copies, the one nearest to their original. An id has as many rows as it has
+    bands (times the tasks that found it), so the window over ids stays small."""
+    weighed = members.repartition("id").distinct().withColumn("w", F.count("*").over(Window.partitionBy("id")))
+    order = F.shiftleft("w", 50) + F.shiftrightunsigned(F.xxhash64("id"), 14)
+    pivots = weighed.groupBy("key").agg(F.max_by("id", order).alias("pivot"))
+    return weighed.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
+
+
+# exact comparison
+
+
+def classes_of(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
+    """For each of these sets (without repeats) the least index that it is linked to, over any
+    number of links of similarity ``threshold`` or more. With ``side``, only sets of side True
+    are compared, with all of another ``label``; sets of one label are one class."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.float64)
+    if m <= 6 and side is None:
+        out = np.arange(m)
+        for j, i in [(j, i) for j in range(1, m) for i in range(j)]:
+            if out[i] != out[j] and min(size[i], size[j]) >= threshold * max(size[i], size[j]) - 1e-9:
+                both = np.sort(np.concatenate((sets[i], sets[j])))
+                both = np.count_nonzero(both[1:] == both[:-1])
+                if both >= threshold * (size[i] + size[j] - both) - 1e-9:
+                    out[out == max(out[i], out[j])] = min(out[i], out[j])
+        return out
+    rows = np.flatnonzero(side) if side is not None else np.arange(m)
+    owner = np.repeat(np.arange(m), size.astype(np.int64))
+    _, place, count = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    rank = np.full(len(count), -1)
+    rank[shared] = np.arange(len(shared))
+    place = rank[place]
+    owner, place = owner[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both, step = np.zeros((len(rows), m), np.float32), 4096
+    for lo in range(0, len(shared), step):  # counts of common elements, as a matrix product
+        a, b = np.searchsorted(place, [lo, lo + step])
+        held = np.zeros((m, min(step, len(shared) - lo)), np.float32)
+        held[owner[a:b], place[a:b] - lo] = 1
+        both += held[rows] @ held.T
+    linked = both >= threshold * (size[rows][:, None] + size[None, :] - both) - 1e-9
+    if label is not None:
+        linked &= label[rows][:, None] != label[None, :]
+    near = np.zeros((m, m), bool)
+    near[rows] = linked
+    near |= near.T
+    if label is not None:
+        near |= label[:, None] == label[None, :]
+    np.fill_diagonal(near, True)
+    out = np.arange(m)
+    while True:
+        least = np.where(near, out[None, :], m).min(1)
+        least = least[least]
+        if (least == out).all():
+            return out
+        out = least
+
+
+def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, sided: bool):
+    """mapInArrow function: (task, id, h) sorted by task, with ``sided`` also (side, label), to
+    links (a, b) of one task's ids. Sets are made of ``h`` by ``decode``."""
+
+    def close(held: list[pa.RecordBatch]):
+        whole = pa.Table.from_batches(held).combine_chunks()
+        task = whole.column("task").to_numpy()
+        at, count = tn.runs(task)
+        column = whole.column("h").combine_chunks()
+        column = column if isinstance(column, pa.Array) else column.chunk(0)
+        ids = whole.column("id").to_numpy()
+        ends = np.cumsum(np.r_[0, size_of(column)])
+        side, label = (whole.column("side").to_numpy(), whole.column("label").to_numpy()) if sided else (None, None)
+        left, right, lo = [], [], 0
+        while lo < len(at):
+            # as many tasks at a time as fit the cache
+            hi = lo + 1
+            while hi < len(at) and at[hi] + count[hi] - at[lo] <= 2048 and ends[at[hi] + count[hi]] - ends[at[lo]] <= 1 << 20:
+                hi += 1
+            first, last = at[lo], at[hi - 1] + count[hi - 1]
+            sets = decode(column.slice(first, last - first))
+            for a, n in zip(at[lo:hi], count[lo:hi], strict=True):
+                if n > 1:
+                    own = slice(a, a + n)
+                    found = classes_of(sets[a - first : a - first + n], threshold, *((side[own], label[own]) if sided else ()))
+                    to = np.flatnonzero(found != np.arange(n))
+                    left.append(ids[own][to])
+                    right.append(ids[own][found[to]])
+            lo = hi
+        none = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            task = batch.column("task").to_numpy()
+            cut = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
+            if cut or (held and held[-1].column("task")[-1].as_py() != task[0]):
+                yield from close([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def similar_classes(scratch: Scratch, sketched: DataFrame, entries: int, sizes: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], threshold: float, decode) -> DataFrame:
+    """(id, root) for the ids of ``sketched`` (id, keys) that are linked to another one.
+
+    ``entries`` is about the number of keys; ``sizes`` gives (id, size, ...) of wanted ids, where
+    size is what an id's comparison costs; ``features`` gives (id, h) of these rows and ``decode``
+    makes hash sets of ``h`` in a task.
     """
-    first = Search(scratch, check, threshold)
-    members = first.stars(bands)
-    first.feats = feats = scratch.put(features(members.select("id").distinct()))
-    first.verify(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    left = first.mixed(members)
-    if left.isEmpty():
-        return first.roots
-    pairs = left.select("pivot", "id").distinct()
-    sets = pairs.join(feats.select(F.col("id").alias("pivot"), F.col("h").alias("hp")), "pivot").join(feats, "id").select("pivot", "id", "hp", "h")
-    again = scratch.put(sets.mapInArrow(difference_keys(decode), "id long, key long"))
-    again_members = first.stars(again)
-    first.verify(first.labelled(again_members.where("id <> pivot")).join(first.roots.select(F.col("id").alias("pivot"), F.col("root").alias("pr")), "pivot", "left").where("label <> coalesce(pr, pivot)").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-    first.exhaust(again_members)
-    if isinstance(feats.schema["h"].dataType, T.ArrayType):
-        members = members.join(feats.select("id", F.size("h").alias("size")), "id")
-    first.exhaust(members)
-    return first.roots
+    members = scratch.put(collisions(sketched, entries))
+    met = scratch.put(groups(members))
+    scratch.drop(members)
+    wanted = scratch.put(sizes(met.select("id").union(met.select("pivot")).distinct()))
+    feats = scratch.put(features(wanted))
+    # blocks of each group: as many as its ids or their sizes ask for
+    sized = met.join(wanted.select("id", "size"), "id").groupBy("pivot").agg((F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / VOLUME))).cast("long").alias("blocks"))
+    sized = scratch.put(sized)
+    dealt = met.join(sized, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
+    dealt = dealt.union(sized.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+    tasks = dealt.select(F.xxhash64("pivot", "block").alias("task"), "id").join(feats, "id").select("task", "id", "h")
+    links = scratch.put(tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, False), "a long, b long").distinct())
+    roots = components(scratch, links)
+    more = scratch.put(_across(met, sized, roots, feats, decode, threshold))
+    if not more.isEmpty():
+        old, roots = roots, components(scratch, links.union(more))
+        scratch.drop(old)
+    scratch.drop(feats, wanted, met, sized, links, more)
+    return roots
+
+
+def _across(met: DataFrame, sized: DataFrame, roots: DataFrame, feats: DataFrame, decode, threshold: float) -> DataFrame:
+    """Links between the blocks of groups that are in several classes: each id outside the
+    group's largest class with the ids of all other classes."""
+    large = sized.where("blocks > 1")
+    named = roots.select("id", F.col("root").alias("label"))
+    rest = met.join(large, "pivot").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    by = rest.groupBy("pivot", "label").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), (F.sum("n") - F.max("n")).alias("others"))
+    by = by.where("labels > 1").withColumn("lanes", F.ceil(F.col("others") / BLOCK))
+    mixed = rest.join(by, "pivot").select("pivot", "id", "label", "blocks", "lanes", (F.col("label") != F.col("main")).alias("side"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    lane = F.pmod(F.xxhash64("id", F.lit(1)), F.col("lanes"))
+    span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cells = mixed.select("pivot", "id", "label", F.lit(False).alias("side"), own.alias("block"), F.explode(span("lanes")).alias("lane"))
+    cells = cells.union(mixed.where("side").select("pivot", "id", "label", "side", F.explode(span("blocks")).alias("block"), lane.alias("lane")))
+    tasks = cells.groupBy(F.xxhash64("pivot", "block", "lane").alias("task"), "id").agg(F.first("label").alias("label"), F.max("side").alias("side"))
+    tasks = tasks.join(feats, "id").select("task", "id", "h", "side", "label")
+    return tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, True), "a long, b long").distinct()
+
+
+def size_of(column: pa.Array) -> np.ndarray:
+    """Bytes of each text."""
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sets_of(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct 48-bit values of each row's hashes, sorted; ``n`` is less than 2**16."""
+    key = np.sort(row.astype(U) << U(48) | h >> U(16))
+    key = key[tn.runs(key)[0]]
+    return np.split(key & U((1 << 48) - 1), np.searchsorted(key >> U(48), np.arange(1, n, dtype=U)))

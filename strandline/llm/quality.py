@@ -7,7 +7,7 @@ noise and tables show in them; a token that repeats the one before is its own
 gram. A score is a sparse dot product through a logistic function.
 
 A null or empty text has no features and scores by the bias alone. The model is
-learned from at most ``sample`` labelled rows, those of the least hashes; without
+learned from at most ``sample`` documents of either label, those of the least hashes; without
 any row of either label it is 0 everywhere, a score of one half. Repeated rows score alike;
 labels of other values than 0 and 1, and null labels, are not used.
 """
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strandline.llm import textnum as tn
-from strandline.llm.linear import sample_of, train
+from strandline.llm.linear import train
+from strandline.llm.sampling import sample_of
 from strandline.llm.scratch import ship
 
 U = np.uint64
@@ -83,7 +84,7 @@ def ftrl(rows, place, weight, y, size, epochs=5, alpha=2.0, beta=1.0, l1=0.01, l
     return weights(np.arange(size + 1))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = 12_000, bits: int = 16, shards: int = 6, **how) -> np.ndarray:
+def fit(docs: DataFrame, labelled: DataFrame, sample: int = 6_000, bits: int = 16, shards: int = 6, **how) -> np.ndarray:
     """Weights from ``docs`` (doc_id, text) and ``labelled`` (doc_id, label 0 or 1)."""
     ship(docs.sparkSession)
 
@@ -93,7 +94,7 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = 12_000, bits: int =
 
     labelled = labelled.where("label in (0, 1)")
     rows = sample_of(docs, labelled, sample, "label")
-    return train(rows, one, (1 << bits) + 1, max(1, min(shards, min(sample, labelled.count()) // 2_000)))
+    return train(rows, one, (1 << bits) + 1, max(1, min(shards, min(2 * sample, labelled.count()) // 2_000)))
 
 
 def score(rows: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score") -> DataFrame:

@@ -96,7 +96,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM rawl WHERE regex
 norm AS (SELECT doc_id, text, source, lower(regexp_replace(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g')) AS line FROM rawl),
 lines AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM norm WHERE line <> ''),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-often AS (SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines WHERE words <= 40 GROUP BY source, line) l
+often AS (SELECT l.source, l.line FROM (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY source, line) l
           JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE l.n > 5 AND l.n > 0.02 * h.docs),
 gone AS (SELECT l.doc_id, sum(l.words) AS words FROM lines l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.line = l.line GROUP BY l.doc_id),
 base AS (SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words,

@@ -49,7 +49,7 @@ class Scratch:
         reread it instead of recomputing what came before."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and texts
         # lets Spark's cleaner free the shuffle files of what has just been written
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

@@ -50,9 +50,9 @@ def _inverse(at: np.ndarray, n: int) -> np.ndarray:
     return _table(pow(_INV, _STEP, 1 << 64), n // _STEP + 1)[at // _STEP] * _LOW_INV[at % _STEP]
 
 
-def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+def buffers(column: pa.Array, kind=pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column, or one of another ``kind``; null counts as empty."""
+    column = pc.fill_null(column.cast(kind), pa.scalar("", pa.string()).cast(kind))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
@@ -120,6 +120,12 @@ def lists(values: np.ndarray, lens: np.ndarray, kind=pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64) if kind == pa.int64() else values, kind))
 
 
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column of consecutive slices of 64-bit ``values``."""
+    offsets = (np.r_[0, np.cumsum(counts)] * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).view(np.uint8))])
+
+
 def word_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle hash, count), sorted by row; hashes keep 48 bits of identity.
 

@@ -15,6 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.llm.sampling import least_of
 from strandline.llm.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,12 +109,13 @@ def _leaves(tree, path=()):
     return F.when(F.col(feature) <= threshold, _leaves(low, (*path, "0"))).otherwise(_leaves(high, (*path, "1")))
 
 
-def fit(labelled: DataFrame, sample: int = 20_000, rounds: int = 5, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, url: str = "url", label: str = "label") -> Trees:
-    """Trees from (url, label 0/1). At most ``sample`` rows are used, those of the
-    least hashes; histograms come from grouped sums over them."""
+def fit(labelled: DataFrame, sample: int = 10_000, rounds: int = 5, depth: int = 3, bins: int = 16, rate: float = 0.4, ridge: float = 1.0, url: str = "url", label: str = "label") -> Trees:
+    """Trees from (url, label 0/1). At most ``sample`` distinct URLs of either label are used
+    (a URL of both labels counts as 1), those of the least hashes; histograms come from grouped sums over them."""
     scratch = Scratch(labelled.sparkSession, "urls")
-    rows = features(labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("y")).where("y is not null")).orderBy(F.xxhash64("url"), "url", "y").limit(sample)
-    rows = scratch.put(rows.drop("url"))
+    known = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("y")).where("y is not null").groupBy("url").agg(F.max("y").alias("y"))
+    known = least_of(known.withColumn("_h", F.xxhash64("url")), "y", ["_h", "url"], sample)
+    rows = scratch.put(features(known).drop("url", "_h"))
     n, positive = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or positive in (0, n):
         base = 0.0 if not n else math.log((positive + 0.5) / (n - positive + 0.5))

@@ -85,6 +85,14 @@ def test_trees_learn_and_are_native(spark):
     assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_a_repeated_url_does_not_fill_the_sample(spark):
+    rows = [("http://hot.org/a", 0)] * 500 + [(f"http://cheap-{i}-pills.org/x?q={i}&z=1", 1) for i in range(60)] + [(f"http://site.org/a/{i}", 0) for i in range(60)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, label int"), sample=50)
+    pages = spark.createDataFrame([("http://cheap-999-pills.org/x?q=1&z=1",), ("http://site.org/a/77",)], "url string")
+    bad, good = [r.score for r in model.score(urls.features(pages)).collect()]
+    assert bad > 0.7 > 0.3 > good
+
+
 def test_entropy(spark):
     from pyspark.sql import functions as F
 

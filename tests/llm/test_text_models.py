@@ -9,7 +9,7 @@ import pytest
 from conftest import SF01
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, media, quality, queries, tokencount, wordbpe
+from strandline.llm import langid, media, quality, queries, sampling, tokencount, wordbpe
 
 ODD = [(1, None), (2, ""), (3, "日本語 テキスト ünï"), (4, "x " * 40_000), (5, "same text"), (5, "same text"), (None, "no id"), (6, "123 !!"), (7, "y" * 100_000)]
 SCHEMA = "doc_id long, text string, score string, lang_pred int, media int"
@@ -63,6 +63,16 @@ def test_language_edges(spark, odd):
     assert {r.lang_pred for r in langid.predict(docs, one).collect()} == {"en"}
 
 
+def test_samples_are_distinct_and_by_label(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(7, "a")] * 900 + [(i, "a") for i in range(300)] + [(i, "b") for i in range(300, 305)] + [(7, "b"), (None, "a"), (8, None), (399, "c")], "doc_id long, label string")
+    got = [(r.doc_id, r.label) for r in sampling.sample_of(docs, labelled, 20, "label").collect()]
+    assert len(got) == len(set(got)) == 26 and sum(x == "a" for _, x in got) == 20 and sum(x == "b" for _, x in got) == 5 and (399, "c") in got
+    again = [(r.doc_id, r.label) for r in sampling.sample_of(docs, labelled.repartition(7), 20, "label").collect()]
+    assert set(again) == set(got)
+    assert {x for _, x in {(r.doc_id, r.label) for r in sampling.sample_of(docs, labelled, 20, "label", labels=2).collect()}} == {"a", "b"}
+
+
 @pytest.mark.parametrize("k", [2, 4, 5, 9, 30])
 def test_codewords(k):
     code = langid.codewords(k)
