@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from strandline.errors import EventStoreError
 from strandline.functions.checks import span, whole
 from strandline.functions.model import BUCKET_SPAN, EVENT_COLUMNS, EVENT_SCHEMA, bucket
+from strandline.functions.shared import shared_folder
 from strandline.operators.dedupe import keep_first
 from strandline.operators.ordering import event_order
 from strandline.operators.predicates import event_filter
@@ -179,9 +180,7 @@ def _with_order():
 
 
 class MemoryEventStore(ParquetEventStore):
-    """The same store in a folder of this process, for tests and small tools."""
+    """The same store in a new folder of the session's shared ones, for one job's results."""
 
     def __init__(self, spark: SparkSession):
-        import tempfile
-
-        super().__init__(spark, "file://" + tempfile.mkdtemp(prefix="strandline-store-"))
+        super().__init__(spark, shared_folder(spark, "store"))

@@ -6,12 +6,11 @@ and once in SQL: ten minutes are a ledger.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.functions import decode
 from strandline.functions.model import EVENT_COLUMNS, decode_events
+from strandline.functions.shared import shared_folder
 from strandline.operators import consistency, dedupe, export, handoff, metrics, predicates, query, reorg, windows
 from strandline.operators.ordering import event_order, newest
 from strandline.plans import deadletter
@@ -263,11 +262,11 @@ def backfill_windows(spark, sf_dir):
     return windows.build_windows(spark, 1, 4321, 600)
 
 
-@registered("SELECT CAST(s AS BIGINT) AS startLedger, CAST(least(s + 499, 4000) AS BIGINT) AS endLedger, count(e.id) AS n FROM range(1, 4001, 500) t(s) LEFT JOIN e ON e.ledger BETWEEN s AND least(s + 499, 4000) GROUP BY 1, 2")
+@registered(", m AS (SELECT max(ledger) AS last FROM e) SELECT CAST(s AS BIGINT) AS startLedger, CAST(least(s + 499, last) AS BIGINT) AS endLedger, count(e.id) AS n FROM (SELECT unnest(range(1, last + 1, 500)) AS s, last FROM m) LEFT JOIN e ON e.ledger BETWEEN s AND s + 499 GROUP BY 1, 2")
 def replay_window_counts(spark, sf_dir):
-    each = ledger_events(spark, sf_dir).where("ledger <= 4000").select(windows.window_of("ledger", 1, 500).alias("w"))
+    each = ledger_events(spark, sf_dir).select(windows.window_of("ledger", 1, 500).alias("w"))
     counts = each.groupBy("w").agg(F.count("*").alias("n"))
-    spans = windows.build_windows(spark, 1, 4000, 500).withColumn("w", windows.window_of("startLedger", 1, 500))
+    spans = windows.build_windows(spark, 1, _last(spark, sf_dir), 500).withColumn("w", windows.window_of("startLedger", 1, 500))
     return spans.join(counts, "w", "left").select("startLedger", "endLedger", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -452,54 +451,58 @@ def pipeline_map_filter(spark, sf_dir):
 # plans and streams
 
 
-@registered("SELECT id, ledger, type FROM e WHERE ledger BETWEEN 1 AND 1500")
+@registered("SELECT id, ledger, type FROM e")
 def backfill_run(spark, sf_dir):
     from strandline.plans.backfill import BackfillEngine
     from strandline.plans.store import MemoryEventStore
 
     store, checkpoint = MemoryEventStore(spark), CheckpointManager()
-    BackfillEngine(EventSource(ledger_events(spark, sf_dir)), store, checkpoint).run(1, 1500, window_size=250, concurrency=6)
+    BackfillEngine(EventSource(ledger_events(spark, sf_dir)), store, checkpoint).run(1, _last(spark, sf_dir), window_size=720, concurrency=6)
     return store.list().select("id", "ledger", "type")
 
 
-@registered("SELECT ledger // 500 AS part, count(*) AS n FROM e WHERE ledger BETWEEN 301 AND 1300 GROUP BY 1")
+@registered("SELECT ledger // 500 AS part, count(*) AS n FROM e WHERE ledger >= 301 GROUP BY 1")
 def replay_run(spark, sf_dir):
     from strandline.plans.replay import EventReplay
 
     checkpoint, seen = CheckpointManager(), []
     checkpoint.save(301)
-    EventReplay(EventSource(ledger_events(spark, sf_dir)), checkpoint=checkpoint).run(1, 1300, window_size=500, on_batch=lambda rows, _: seen.append(rows.select("id", "ledger")))
+    EventReplay(EventSource(ledger_events(spark, sf_dir)), checkpoint=checkpoint).run(1, _last(spark, sf_dir), window_size=500, on_batch=lambda rows, _: seen.append(rows.select("id", "ledger")))
     rows = seen[0]
     for x in seen[1:]:
         rows = rows.unionByName(x)
     return rows.groupBy(F.floor(F.col("ledger") / 500).cast("long").alias("part")).agg(F.count("*").alias("n"))
 
 
+def _last(spark, sf_dir) -> int:
+    return ledger_events(spark, sf_dir).agg(F.max("ledger")).first()[0]
+
+
 def _streamed(spark, sf_dir, condition: str = "true"):
-    folder = tempfile.mkdtemp(prefix="strandline-stream-")
+    folder = shared_folder(spark, "stream")
     rows = ledger_events(spark, sf_dir).where(condition)
     rows.unionByName(rows.where("ledger % 10 = 0")).select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{folder}/in")
     return folder
 
 
-@registered("SELECT id, ledger FROM e WHERE ledger >= 2500")
+@registered("SELECT id, ledger FROM e")
 def stream_dedupe(spark, sf_dir):
     from strandline.streaming.consume import event_stream, stream_dedupe as once
 
     folder = _streamed(spark, sf_dir)
-    rows = once(event_stream(spark, f"{folder}/in"), 2500).select("id", "ledger")
+    rows = once(event_stream(spark, f"{folder}/in"), 1).select("id", "ledger")
     rows.writeStream.option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
-@registered("SELECT type, count(*) AS n, max(ledger) AS head FROM e WHERE ledger >= 1200 GROUP BY type")
+@registered("SELECT type, count(*) AS n, max(ledger) AS head FROM e GROUP BY type")
 def stream_consume(spark, sf_dir):
     from strandline.plans.store import MemoryEventStore
     from strandline.streaming.consume import consume, event_stream
 
     folder, store = _streamed(spark, sf_dir), MemoryEventStore(spark)
     checkpoint = CheckpointManager()
-    consume(event_stream(spark, f"{folder}/in"), f"{folder}/at", start_ledger=1200, checkpoint=checkpoint, on_batch=lambda rows, _: store.put(rows))
+    consume(event_stream(spark, f"{folder}/in"), f"{folder}/at", start_ledger=1, checkpoint=checkpoint, on_batch=lambda rows, _: store.put(rows))
     return store.table().groupBy("type").agg(F.count("*").alias("n"), F.max("ledger").alias("head"))
 
 
