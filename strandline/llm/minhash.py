@@ -163,16 +163,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
     sketched = scratch.put(texts.mapInArrow(sketch(width, k, rows), f"doc_id {kind}, t long, id long, size long, keys binary"))
     named = sketched.select("id", "doc_id", "t")
 
-    def sizes(ids: DataFrame) -> DataFrame:
-        return sketched.join(ids, "id", "left_semi").groupBy("id").agg(F.max("size").alias("size"), F.min(F.struct("doc_id", "t")).alias("f"))
-
-    def features(firsts: DataFrame) -> DataFrame:
-        wanted = firsts.select("id", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
+    def features(ids: DataFrame) -> DataFrame:
+        firsts = sketched.join(ids, "id", "left_semi").groupBy("id").agg(F.max("size").alias("size"), F.min(F.struct("doc_id", "t")).alias("f"))
+        wanted = firsts.select("id", "size", F.col("f.doc_id").alias("d"), F.col("f.t").alias("dt"))
         # always the same join, so that small tables tell what large ones cost
         found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")))
-        return found.select("id", F.coalesce("text", F.lit("")).alias("h")).dropDuplicates(["id"])
+        return found.select("id", "size", F.coalesce("text", F.lit("")).alias("h")).dropDuplicates(["id"])
 
-    roots = similar_classes(scratch, sketched, sketched.count() * (k // rows), sizes, features, threshold, lambda column: counted_sets(column, width))
+    roots = similar_classes(scratch, sketched, sketched.count() * (k // rows), features, threshold, lambda column: counted_sets(column, width))
     labelled = named.join(roots, "id", "left").select("doc_id", "t", F.coalesce("root", "id").alias("root"))
     heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("head"), F.count("*").alias("class_size"))
     return labelled.join(heads, "root").select("doc_id", "t", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), "class_size")

@@ -282,20 +282,18 @@ def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, si
     return run
 
 
-def similar_classes(scratch: Scratch, sketched: DataFrame, entries: int, sizes: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], DataFrame], threshold: float, decode) -> DataFrame:
+def similar_classes(scratch: Scratch, sketched: DataFrame, entries: int, features: Callable[[DataFrame], DataFrame], threshold: float, decode) -> DataFrame:
     """(id, root) for the ids of ``sketched`` (id, keys) that are linked to another one.
 
-    ``entries`` is about the number of keys; ``sizes`` gives (id, size, ...) of wanted ids, where
-    size is what an id's comparison costs; ``features`` gives (id, h) of these rows and ``decode``
-    makes hash sets of ``h`` in a task.
+    ``entries`` is about the number of keys; ``features`` gives (id, size, h) of wanted ids, where
+    size is what an id's comparison costs, and ``decode`` makes hash sets of ``h`` in a task.
     """
     members = scratch.put(collisions(sketched, entries))
     met = scratch.put(groups(members))
     scratch.drop(members)
-    wanted = scratch.put(sizes(met.select("id").union(met.select("pivot")).distinct()))
-    feats = scratch.put(features(wanted))
+    feats = scratch.put(features(met.select("id").union(met.select("pivot")).distinct()))
     # blocks of each group: as many as its ids or their sizes ask for
-    sized = met.join(wanted.select("id", "size"), "id").groupBy("pivot").agg((F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / VOLUME))).cast("long").alias("blocks"))
+    sized = met.join(feats.select("id", "size"), "id").groupBy("pivot").agg((F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / VOLUME))).cast("long").alias("blocks"))
     sized = scratch.put(sized)
     dealt = met.join(sized, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     dealt = dealt.union(sized.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
@@ -306,7 +304,7 @@ def similar_classes(scratch: Scratch, sketched: DataFrame, entries: int, sizes:
     if not more.isEmpty():
         old, roots = roots, components(scratch, links.union(more))
         scratch.drop(old)
-    scratch.drop(feats, wanted, met, sized, links, more)
+    scratch.drop(feats, met, sized, links, more)
     return roots
 
 

@@ -36,7 +36,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("t"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     gone = linededup.removals(docs).select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "removed")
     joined = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.col("removed.pos").alias("removed_at"), F.col("removed.kept_doc").alias("kept_doc"), F.col("removed.kept_pos").alias("kept_pos"))
