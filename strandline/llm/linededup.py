@@ -183,8 +183,7 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shorte
     def decode(column: pa.Array) -> list[np.ndarray]:
         return sets_of(*line_shingles(column, width), len(column))
 
-    sketched = first.select("id", "line").mapInArrow(line_keys(width, bands, rows), "id long, keys binary")
-    roots = similar_classes(scratch, sketched, first.count() * bands, features, threshold, decode)
+    roots = similar_classes(scratch, first.select("id", "line"), first.count() * bands, features, threshold, decode, line_keys(width, bands, rows))
     labelled = lines.select("id", "doc_id", "t", "pos").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "t", "pos")
     # most lines are alone in their class; only the others need an order
     several = scratch.put(labelled.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))

@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
         found = texts.join(wanted.hint("merge"), texts["doc_id"].eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")))
         return found.select("id", "size", F.coalesce("text", F.lit("")).alias("h")).dropDuplicates(["id"])
 
-    roots = similar_classes(scratch, sketched, sketched.count() * (k // rows), features, threshold, lambda column: counted_sets(column, width))
+    roots = similar_classes(scratch, sketched.where("length(keys) > 0").select("id", "keys"), sketched.count() * (k // rows), features, threshold, lambda column: counted_sets(column, width))
     labelled = named.join(roots, "id", "left").select("doc_id", "t", F.coalesce("root", "id").alias("root"))
     heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("head"), F.count("*").alias("class_size"))
     return labelled.join(heads, "root").select("doc_id", "t", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), "class_size")

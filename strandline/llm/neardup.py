@@ -33,7 +33,7 @@ U = np.uint64
 BLOCK, VOLUME = 256, 8 << 20
 #: Keys folded at a time by a task, keys that a part has on average, keys of a blob passed by,
 #: and bytes of a key that are told apart within a part.
-FLUSH, PART, BLOB, LOW = 1 << 21, 1 << 20, 1 << 15, 5
+FLUSH, PART, BLOB, LOW = 1 << 20, 1 << 20, 1 << 15, 5
 
 
 def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
@@ -85,8 +85,9 @@ def name(part: np.ndarray | int, key: np.ndarray) -> np.ndarray:
     return np.asarray(part, U) << U(8 * LOW) | key & U((1 << 8 * LOW) - 1)
 
 
-def fold(parts: int):
-    """mapInArrow function: (id, keys: packed) to blobs (part, kind, keys, ids).
+def fold(parts: int, keyed: Callable | None = None):
+    """mapInArrow function: (id, keys: packed), as ``keyed`` makes them of the rows, to blobs
+    (part, kind, keys, ids).
 
     A key's upper bits choose its part, its lowest ``LOW`` bytes tell it from others there; parts
     grow in number with the keys, so chance meetings stay one in a million (and are compared).
@@ -115,7 +116,7 @@ def fold(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held, turn = [], [], 0, 0
-        for batch in batches:
+        for batch in keyed(batches) if keyed else batches:
             raw, offsets = tn.buffers(batch.column("keys"), pa.large_binary())
             own = np.repeat(batch.column("id").to_numpy(), np.diff(offsets) // 8)
             keys.append(np.frombuffer(raw, U))
@@ -162,10 +163,11 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close(held)
 
 
-def collisions(sketched: DataFrame, entries: int) -> DataFrame:
-    """(key, id) of keys that several ids of ``sketched`` (id, keys) have; some rows may repeat."""
+def collisions(rows: DataFrame, entries: int, keyed: Callable | None) -> DataFrame:
+    """(key, id) of keys that several ids have; some rows may repeat. The keys of ``rows`` are
+    there (id, keys) or made by ``keyed``, in the same Python worker that folds them."""
     parts = max(16, min(1 << 23, entries // PART))
-    blobs = sketched.where("length(keys) > 0").select("id", "keys").mapInArrow(fold(parts), "part int, kind int, keys binary, ids binary")
+    blobs = rows.mapInArrow(fold(parts, keyed), "part int, kind int, keys binary, ids binary")
     return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, id long")
 
 
@@ -282,13 +284,14 @@ def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, si
     return run
 
 
-def similar_classes(scratch: Scratch, sketched: DataFrame, entries: int, features: Callable[[DataFrame], DataFrame], threshold: float, decode) -> DataFrame:
-    """(id, root) for the ids of ``sketched`` (id, keys) that are linked to another one.
+def similar_classes(scratch: Scratch, rows: DataFrame, entries: int, features: Callable[[DataFrame], DataFrame], threshold: float, decode, keyed: Callable | None = None) -> DataFrame:
+    """(id, root) for the ids of ``rows`` (id, keys) that are linked to another one; with ``keyed``
+    this makes (id, keys) batches of other rows.
 
     ``entries`` is about the number of keys; ``features`` gives (id, size, h) of wanted ids, where
     size is what an id's comparison costs, and ``decode`` makes hash sets of ``h`` in a task.
     """
-    members = scratch.put(collisions(sketched, entries))
+    members = scratch.put(collisions(rows, entries, keyed))
     met = scratch.put(groups(members))
     scratch.drop(members)
     feats = scratch.put(features(met.select("id").union(met.select("pivot")).distinct()))
