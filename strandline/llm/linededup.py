@@ -184,10 +184,10 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shorte
         return sets_of(*line_shingles(column, width), len(column))
 
     roots = similar_classes(scratch, first.select("id", "line"), first.count() * bands, features, threshold, decode, line_keys(width, bands, rows))
-    labelled = lines.select("id", "doc_id", "t", "pos").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc_id", "t", "pos")
     # most lines are alone in their class; only the others need an order
-    several = scratch.put(labelled.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"))
-    among = labelled.join(several, "root")
+    linked = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+    several = scratch.put(lines.groupBy("id").agg(F.count("*").alias("n")).join(linked, "id", "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root")))
+    among = scratch.put(lines.select("id", "doc_id", "t", "pos").join(several, "id").select("root", "doc_id", "t", "pos"))
     heads = among.groupBy("root").agg(F.min(F.struct("doc_id", "t", "pos")).alias("head"))
     return (
         among.join(heads, "root")
