@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.llm import textnum as tn
 from strandline.llm.minhash import band_keys
-from strandline.llm.neardup import sets_of, similar_classes
+from strandline.llm.neardup import classed, sets_of, similar_classes
 from strandline.llm.scratch import Scratch
+from strandline.llm.skew import spread_join
 
 U = np.uint64
 #: Odd factors that make the hashes of each round.
@@ -185,12 +186,10 @@ def line_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, shorte
 
     roots = similar_classes(scratch, first.select("id", "line"), first.count() * bands, features, threshold, decode, line_keys(width, bands, rows))
     # most lines are alone in their class; only the others need an order
-    linked = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
-    several = scratch.put(lines.groupBy("id").agg(F.count("*").alias("n")).join(linked, "id", "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root")))
-    among = scratch.put(lines.select("id", "doc_id", "t", "pos").join(several, "id").select("root", "doc_id", "t", "pos"))
-    heads = among.groupBy("root").agg(F.min(F.struct("doc_id", "t", "pos")).alias("head"))
+    among, heads = classed(scratch, lines.select("id", "doc_id", "t", "pos"), roots, False)
+    scratch.drop(lines)
     return (
-        among.join(heads, "root")
+        spread_join(among, heads, ["root"], "n", among.count())
         .where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("head")))
         .select("doc_id", "t", "pos", F.col("head.doc_id").alias("kept_doc"), F.col("head.pos").alias("kept_pos"))
     )

@@ -23,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm import textnum as tn
-from strandline.llm.neardup import sets_of, similar_classes
+from strandline.llm.neardup import classed, sets_of, similar_classes
 from strandline.llm.scratch import Scratch
+from strandline.llm.skew import spread_join
 
 U = np.uint64
 #: Weight regions: unit widths doubling to this width, then of this width.
@@ -151,9 +152,9 @@ def counted_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k: int = 64, rows: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, t (hash of its text), class_id (the least
-    doc_id of its class, nulls first), class_t (that document's t) and class_size.
+def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, k: int = 64, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: root, doc_id and t (hash of the text) of each row of ``docs``; root, head
+    (least doc_id, nulls first, and its t) and n (rows) of each class.
 
     With 16 bands of 4, a pair at 0.8 is found with probability 0.9998.
     """
@@ -171,14 +172,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, k:
         return found.select("id", "size", F.coalesce("text", F.lit("")).alias("h")).dropDuplicates(["id"])
 
     roots = similar_classes(scratch, sketched.where("length(keys) > 0").select("id", "keys"), sketched.count() * (k // rows), features, threshold, lambda column: counted_sets(column, width))
-    labelled = named.join(roots, "id", "left").select("doc_id", "t", F.coalesce("root", "id").alias("root"))
-    heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("head"), F.count("*").alias("class_size"))
-    return labelled.join(heads, "root").select("doc_id", "t", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), "class_size")
+    return classed(scratch, named, roots, True)
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """One row per row of ``docs``: doc_id, t (hash of its text), class_id (the least
+    doc_id of its class, nulls first), class_t (that document's t) and class_size."""
+    labelled, heads = classes(docs, **how)
+    joined = spread_join(labelled, heads, ["root"], "n", labelled.count())
+    return joined.select("doc_id", "t", F.col("head.doc_id").alias("class_id"), F.col("head.t").alias("class_t"), F.col("n").alias("class_size"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the least doc_id."""
-    heads = near_duplicates(docs, **how).select(F.col("class_id").alias("_head"), F.col("class_t").alias("_head_t")).distinct()
+    heads = classes(docs, **how)[1].select(F.col("head.doc_id").alias("_head"), F.col("head.t").alias("_head_t"))
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("_t") == F.col("_head_t")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_t"]).drop("_t")

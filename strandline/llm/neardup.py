@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm import textnum as tn
 from strandline.llm.scratch import Scratch
+from strandline.llm.skew import spread_join
 
 U = np.uint64
 #: Ids of a group that are compared in one task, and characters (or elements) they may have.
@@ -330,6 +331,21 @@ def _across(met: DataFrame, sized: DataFrame, roots: DataFrame, feats: DataFrame
     return tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, True), "a long, b long").distinct()
 
 
+def classed(scratch: Scratch, rows: DataFrame, roots: DataFrame, alone: bool) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, doc_id, ...; a written table) with root instead of id, and of each root ``n``
+    rows and the ``head``, the least of them. Without ``alone``, only of classes of several rows.
+
+    An id, as of exact copies, and a class may have any share of the rows: both joins spread them.
+    """
+    linked = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
+    ids = rows.groupBy("id").agg(F.count("*").alias("n")).join(linked, "id", "left")
+    ids = scratch.put((ids if alone else ids.where("n > 1 or root is not null")).select("id", F.coalesce("root", "id").alias("root"), "n"))
+    members = scratch.put(spread_join(rows, ids, ["id"], "n", rows.count()).drop("id", "n"))
+    scratch.drop(ids)
+    order = [c for c in members.columns if c != "root"]
+    return members, scratch.put(members.groupBy("root").agg(F.min(F.struct(*order)).alias("head"), F.count("*").alias("n")))
+
+
 def size_of(column: pa.Array) -> np.ndarray:
     """Bytes of each text."""
     return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.llm.linededup import without
 from strandline.llm.scratch import Scratch
+from strandline.llm.skew import spread_join
 
 #: Words and the white space between them.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -86,16 +87,18 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
-    """host, line: the ``lines`` in more of the host's distinct texts than the limit."""
+    """host, line, rows: the ``lines`` in more of the host's distinct texts than the limit, and how often they come."""
     hosts = docs.select(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host"), F.xxhash64("text").alias("t")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    counted = lines.groupBy("host", "line", "t").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    return counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), share * F.col("docs"))).select("host", "line")
+    counted = lines.groupBy("host", "line", "t").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).where(F.col("n") > least)
+    return counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), share * F.col("docs"))).select("host", "line", "rows")
 
 
 def line_verdicts(docs: DataFrame, least: int, share: float) -> DataFrame:
     """doc_id, t, gone (sorted positions of removed lines) and gone_words, of documents that lose lines."""
-    lines = Scratch(docs.sparkSession, "rules").put(document_lines(docs))
-    hit = lines.join(frequent_lines(docs, lines, least, share), ["host", "line"])
+    scratch = Scratch(docs.sparkSession, "rules")
+    lines = scratch.put(document_lines(docs))
+    often = scratch.put(frequent_lines(docs, lines, least, share))
+    hit = spread_join(lines, often, ["host", "line"], "rows", lines.count())
     gone = hit.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("pos", "words"))).alias("g"))
     return gone.select("doc_id", "t", F.col("g.pos").alias("gone"), F.aggregate(F.col("g.words"), F.lit(0).cast("long"), lambda a, x: a + x).alias("gone_words"))
 
