@@ -35,44 +35,54 @@ BLOCK, VOLUME = 256, 8 << 20
 #: Keys folded at a time by a task, keys that a part has on average, keys of a blob passed by,
 #: and bytes of a key that are told apart within a part.
 FLUSH, PART, BLOB, LOW = 1 << 20, 1 << 20, 1 << 15, 5
+#: Rounds of union-find in the order of the ids themselves.
+PLAIN = 4
 
 
 def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
-    """Union-find by alternating stars: (id, root) for every linked id.
+    """Union-find by contraction: (id, root) for every linked id but the roots, the least of each class.
 
-    Large-star hooks each larger neighbour to the least one, small-star flattens
-    the trees; both are a grouped minimum and a join. The rounds needed grow with
-    the logarithm of the longest chain.
+    In a round each id goes to the least id that it is linked to, or stays; links then join where
+    their ends went, and those whose ends are one are done. So only classes that are not whole yet
+    take part in the next round: stars are done at once, and a chain loses half its links a round.
+    An id may have any share of the links, so joins by ids are spread.
     """
-    hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    edges = scratch.put(links.select(hi.alias("u"), lo.alias("v")).where("u <> v").distinct())
-    before = _state(edges)
-    for _ in range(most):
-        if not before[0]:
-            break
+    edges = scratch.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    steps = []
+    while total := edges.count():
+        if len(steps) == most:
+            raise RuntimeError("union-find did not settle")
+        # ids are hashes, so their own order will do; another order each round should they form runs
+        salt = F.lit(0 if len(steps) < PLAIN else int(tn.mix(np.array([len(steps)], U)).view(np.int64)[0]))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        hooked = scratch.put(large)
-        least = hooked.groupBy("u").agg(F.min("v").alias("m"))
-        flat = hooked.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after_edges = scratch.put(flat)
-        after = _state(after_edges)
-        scratch.drop(edges, hooked)
-        edges = after_edges
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("union-find did not settle")
-    out = scratch.put(edges.select(F.col("u").alias("id"), F.col("v").alias("root")))
-    scratch.drop(edges)
+        least = both.groupBy("u").agg(F.min(F.col("v").bitwiseXOR(salt)).alias("m"), F.count("*").alias("n"))
+        step = scratch.put(least.select("u", F.least("m", F.col("u").bitwiseXOR(salt)).bitwiseXOR(salt).alias("to"), "n"))
+        steps.append(step)
+        left = spread_join(edges, step.withColumnRenamed("to", "x"), ["u"], "n", total, F.xxhash64("v")).select("u", "v", "x")
+        both = spread_join(left, step.select(F.col("u").alias("v"), F.col("to").alias("y"), "n"), ["v"], "n", total, F.xxhash64("u"))
+        rest = scratch.put(both.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+        scratch.drop(edges)
+        edges = rest
+    made = [edges, *steps]
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    for turn, step in enumerate(reversed(steps)):
+        own = step.select(F.col("u").alias("id"), F.col("to").alias("root"))
+        found = own if not turn else scratch.put(carried(scratch, own, found))
+        made += [found] * bool(turn)
+    if len(steps) > PLAIN:  # roots by other orders are not the least
+        least = scratch.put(found.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+        made.append(least)
+        found = spread_join(found, least, ["root"], "n", found.count(), F.xxhash64("id")).select("id", F.col("least").alias("root"))
+    out = scratch.put(found.where("id <> root"))
+    scratch.drop(*made)
     return out
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def carried(scratch: Scratch, below: DataFrame, above: DataFrame) -> DataFrame:
+    """``below`` (id, root) with the root of its root, for those that ``above`` (id, root) has; both of written tables."""
+    on = above.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    roots = scratch.put(below.groupBy("root").agg(F.count("*").alias("n")).join(on, "root", "left").select("root", F.coalesce("to", "root").alias("to"), "n"))
+    return spread_join(below, roots, ["root"], "n", below.count(), F.xxhash64("id")).select("id", F.col("to").alias("root"))
 
 
 # shared bands
@@ -238,7 +248,7 @@ def classes_of(sets: list[np.ndarray], threshold: float, side: np.ndarray | None
 
 def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, sided: bool):
     """mapInArrow function: (task, id, h) sorted by task, with ``sided`` also (side, label), to
-    links (a, b) of one task's ids. Sets are made of ``h`` by ``decode``."""
+    links (a, b) of one task's ids, with ``sided`` of its labels. Sets are made of ``h`` by ``decode``."""
 
     def close(held: list[pa.RecordBatch]):
         whole = pa.Table.from_batches(held).combine_chunks()
@@ -248,7 +258,7 @@ def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, si
         column = column if isinstance(column, pa.Array) else column.chunk(0)
         ids = whole.column("id").to_numpy()
         ends = np.cumsum(np.r_[0, size_of(column)])
-        side, label = (whole.column("side").to_numpy(), whole.column("label").to_numpy()) if sided else (None, None)
+        side, label = (whole.column("side").to_numpy(), whole.column("label").to_numpy()) if sided else (None, ids)
         left, right, lo = [], [], 0
         while lo < len(at):
             # as many tasks at a time as fit the cache
@@ -262,8 +272,8 @@ def compare(decode: Callable[[pa.Array], list[np.ndarray]], threshold: float, si
                     own = slice(a, a + n)
                     found = classes_of(sets[a - first : a - first + n], threshold, *((side[own], label[own]) if sided else ()))
                     to = np.flatnonzero(found != np.arange(n))
-                    left.append(ids[own][to])
-                    right.append(ids[own][found[to]])
+                    left.append(label[own][to])
+                    right.append(label[own][found[to]])
             lo = hi
         none = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], names=["a", "b"])
@@ -302,19 +312,19 @@ def similar_classes(scratch: Scratch, rows: DataFrame, entries: int, features: C
     dealt = met.join(sized, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
     dealt = dealt.union(sized.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
     tasks = dealt.select(F.xxhash64("pivot", "block").alias("task"), "id").join(feats, "id").select("task", "id", "h")
-    links = scratch.put(tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, False), "a long, b long").distinct())
-    roots = components(scratch, links)
+    roots = components(scratch, tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, False), "a long, b long"))
     more = scratch.put(_across(met, sized, roots, feats, decode, threshold))
-    if not more.isEmpty():
-        old, roots = roots, components(scratch, links.union(more))
-        scratch.drop(old)
-    scratch.drop(feats, met, sized, links, more)
+    if not more.isEmpty():  # only the classes that these links join are worked on again
+        old, top = roots, components(scratch, more)
+        roots = scratch.put(carried(scratch, old, top).union(top))
+        scratch.drop(old, top)
+    scratch.drop(feats, met, sized, more)
     return roots
 
 
 def _across(met: DataFrame, sized: DataFrame, roots: DataFrame, feats: DataFrame, decode, threshold: float) -> DataFrame:
-    """Links between the blocks of groups that are in several classes: each id outside the
-    group's largest class with the ids of all other classes."""
+    """Links of classes, by their labels, between the blocks of groups that are in several: each id
+    outside the group's largest class is compared with the ids of all other classes."""
     large = sized.where("blocks > 1")
     named = roots.select("id", F.col("root").alias("label"))
     rest = met.join(large, "pivot").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -328,7 +338,7 @@ def _across(met: DataFrame, sized: DataFrame, roots: DataFrame, feats: DataFrame
     cells = cells.union(mixed.where("side").select("pivot", "id", "label", "side", F.explode(span("blocks")).alias("block"), lane.alias("lane")))
     tasks = cells.groupBy(F.xxhash64("pivot", "block", "lane").alias("task"), "id").agg(F.first("label").alias("label"), F.max("side").alias("side"))
     tasks = tasks.join(feats, "id").select("task", "id", "h", "side", "label")
-    return tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, True), "a long, b long").distinct()
+    return tasks.repartition("task").sortWithinPartitions("task", "id").mapInArrow(compare(decode, threshold, True), "a long, b long").where("a <> b").distinct()
 
 
 def classed(scratch: Scratch, rows: DataFrame, roots: DataFrame, alone: bool) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ import pytest
 from collections import Counter
 from conftest import SF001
 
-from strandline.llm import linededup, minhash, neardup
+from strandline.llm import linededup, minhash, neardup, skew
 from strandline.llm import textnum as tn
 from strandline.llm.scratch import Scratch
 
@@ -141,6 +141,53 @@ def test_components_of_long_chains(spark):
     assert set(got.values()) == {0, 1000} and got[1001] == 1000 and 1002 not in got and len(got) >= 201
 
 
+def random_links(kind, rng):
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(400)]
+    if kind == "runs":
+        ids = sorted(ids)
+    if kind == "hub":
+        return [(ids[0], x) for x in ids[1:300]] + [(ids[5], ids[310]), (ids[310], ids[311]), (ids[320], ids[321])]
+    if kind == "tree":
+        return [(ids[i], ids[rng.randrange(max(1, i // 2), i + 1)]) for i in range(1, 380)]
+    return [*zip(ids[:60], ids[1:60], strict=False), *zip(ids[61:90], ids[62:90], strict=False)]
+
+
+@pytest.mark.parametrize("kind, plain", [("runs", 1), ("hub", 4), ("tree", 4)])
+def test_components_equal_union_find(spark, monkeypatch, kind, plain):
+    monkeypatch.setattr(neardup, "PLAIN", plain)
+    monkeypatch.setattr(skew, "HOT", 16)
+    links = random_links(kind, random.Random(8))
+    root = {x: x for x in sum(links, ())}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = neardup.components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root if find(x) != x)
+
+
+def test_components_write_whole_classes_once(spark, monkeypatch):
+    written, put = [], Scratch.put
+
+    def counted(self, df):
+        out = put(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    # 400 pairs and stars, which one round does, and a chain that takes more
+    links = [(1000 * i, 1000 * i + j) for i in range(1, 501) for j in range(1, 1 + i % 5)] + [(i, i + 1) for i in range(1, 4)]
+    got = neardup.components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(links) == 1003
+    # links, ids with their next, ids with their roots, the result; rounds may not write them all again
+    assert sum(written) < 6 * len(links)
+
+
 # lines
 
 
